@@ -51,7 +51,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done = []
         if not starts or starts[0] > 0:
             ids.append(key[: starts[0] if starts else rows])
-        for a, b in zip(starts, [*starts[1:], rows], strict=True):
+        for a, b in zip(starts, [*starts[1:], rows], strict=False):
             if ids:
                 done.append(close(False))
                 number += 1
