@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pickle
 import sys
 import tempfile
+from collections.abc import Callable
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,6 +56,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def ship(spark: SparkSession, value) -> Callable:
+    """A function that returns `value` on executors; it is broadcast once, with the code it needs. Its size is the caller's to bound."""
+    box, memo = spark.sparkContext.broadcast(cloudpickle.dumps(value)), []
+
+    def load():
+        if not memo:
+            memo.append(pickle.loads(box.value))
+        return memo[0]
+
+    return load
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
