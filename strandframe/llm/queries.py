@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, exact_dedup, language_model, mixing, quality, simhash, toxicity, url_filters, warc
+from . import decontam, exact_dedup, language_model, licenses, mixing, quality, simhash, toxicity, url_filters, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licenses(_table(spark, sf_dir, "documents"))
+
+
 def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.lm_scores(_table(spark, sf_dir, "documents"))
 
@@ -52,7 +56,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filters, op2_exact_dedup, op3_simhash, op4_warc, op6_language_model, op7_quality, op8_toxicity, op9_decontamination, op10_mixing)}
+    return {f.__name__: f for f in (op1_url_filters, op2_exact_dedup, op3_simhash, op4_warc, op5_licenses, op6_language_model, op7_quality, op8_toxicity, op9_decontamination, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -251,3 +251,9 @@ def simhash_groups(docs: DataFrame, how: SimHash = SimHash(), doc_id: str = "doc
     total = table.agg(F.sum("group_size")).first()[0] or 0
     joined = attach(prints, table, "code", "group_size", total)
     return joined.select("doc_id", F.lpad(F.lower(F.hex("code")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def drop_near_copies(docs: DataFrame, how: SimHash = SimHash(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of `docs` whose id is the smallest of its component, with all their columns; rows without an id stay."""
+    gone = simhash_groups(docs, how, doc_id, text).where("doc_id <> component_id").select(F.col("doc_id").alias(doc_id)).distinct()
+    return docs.join(gone, doc_id, "left_anti")
