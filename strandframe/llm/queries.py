@@ -59,5 +59,44 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_url_filters, op2_exact_dedup, op3_simhash, op4_warc, op5_licenses, op6_language_model, op7_quality, op8_toxicity, op9_decontamination, op10_mixing)}
 
 
+# -- SQL --------------------------------------------------------------------------------------------
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _url_sql() -> str:
+    """Every rule is tried on every url, longest first: what the index must not change."""
+    quote = lambda x: x.replace("'", "''").replace(r"\Z", r"\z")
+    longest = lambda rules: sorted(rules, key=lambda r: (-len(r.text), r.action != "block", r.text))
+    case = lambda rules, subject, value: "case " + " ".join(f"when regexp_matches({subject}, '^(?:{quote(r.regex())})') then '{value(r)}'" for r in longest(rules)) + " end"
+    text, action = (lambda r: r.text), (lambda r: r.action)
+    return f"""with r as (select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest, coalesce(translate(url, '{_UPPER}', '{_LOWER}'), '') as low from pages),
+    h as (select page_id, low, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*'), '{_UPPER}', '{_LOWER}') as host, regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) as path from r),
+    j as (select *, {case(url_filters.PLACES, "host || path", text)} as rule, {case(url_filters.PLACES, "host || path", action)} as said, {case(url_filters.PATTERNS, "low", text)} as fit from h)
+    select page_id, host, path, rule, coalesce(said, case when fit is not null then 'block' else 'allow' end) as verdict, case when rule is null then fit end as pattern from j"""
+
+
+_EXACT = r"""with n as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as t from documents),
+  g as (select doc_id, min(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size, sha256(t) as text_sha256 from n)
+  select doc_id, keep_id, group_size, doc_id = keep_id as kept, text_sha256 from g"""
+
+_WARC = """with p as (select page_id, coalesce(html, '') as h from pages), g as (select page_id, strlen(h) as payload_bytes, sha1(h) as payload_digest, max(page_id) over (partition by h) as last from p)
+  select page_id, payload_bytes, payload_digest, case when payload_bytes >= 1000 and page_id <> last then 'revisit' else 'response' end as record_type,
+  case when payload_bytes >= 1000 and page_id <> last then last end as refers_to from g"""
+
+_MIXING = r"""with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as size from documents),
+  s as (select source, sum(size) as source_size from d group by source),
+  w as (select *, case (row_number() over (order by source nulls last) - 1) % 3 when 0 then 5.0::double when 1 then 2.0 else 1.0 end as weight from s),
+  r as (select *, 2.0::double * source_size as cap, 2.0::double * source_size / weight as ratio from w),
+  l as (select *, (1.5::double * sum(source_size) over () - coalesce(sum(cap) over (order by ratio, source nulls last rows between unbounded preceding and 1 preceding), 0))
+    / sum(weight) over (order by ratio, source nulls last rows between current row and unbounded following) as level from r),
+  f as (select first(level order by ratio) as level from l where ratio >= level),
+  t as (select l.source, source_size, least(cap, f.level * weight) as target from l, f),
+  c as (select d.doc_id, size, source_size, target, case when source_size > 0 then target / source_size else 0 end as rate,
+    ('0x' || substr(md5('mix:' || coalesce(cast(doc_id as varchar), 'null')), 1, 13))::bigint / 4503599627370496.0::double as u from d join t on d.source is not distinct from t.source)
+  select doc_id, size, cast(source_size as bigint) as source_size, target, cast(size * (floor(rate) + case when u < rate - floor(rate) then 1 else 0 end) as bigint) as taken from c"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Fingerprints (no XXH64 there), trained scores and tiles can't be said in DuckDB's SQL; their tests use brute force."""
+    return {"op1_url_filters": _url_sql(), "op2_exact_dedup": _EXACT, "op4_warc": _WARC, "op10_mixing": _MIXING}
