@@ -133,35 +133,40 @@ class Toxicity:
         return 1 / (1 + math.exp(-max(-50.0, min(50.0, total))))
 
 
-def train(documents: list[set[str]], matched: np.ndarray, labels: np.ndarray, how: WeakSupervision) -> Toxicity:
-    """documents: the distinct words of each row. matched: rows by patterns."""
+def train(documents: pa.Array, matched: np.ndarray, labels: np.ndarray, how: WeakSupervision) -> Toxicity:
+    """documents: lists of the distinct words of each row, which stay in Arrow: only one row's features are out at a
+    time, and only features that occur in toxic rows are counted. matched: rows by patterns."""
     n = len(documents)
     if not n or labels.min() == labels.max():
         return Toxicity({}, -20.0 if not n or labels.max() == 0 else 20.0, how.cuts)
-    features = [features_of(d, how.cuts) for d in documents]
-    bad, good = Counter(), Counter()
-    for f, y in zip(features, labels, strict=True):
-        (bad if y else good).update(f)
-    n1 = int(labels.sum())
-    odds = {f: math.log((k + 0.5) / (n1 + 1)) - math.log((good[f] + 0.5) / (n - n1 + 1)) for f, k in bad.items() if k >= 3}
+    features = lambda i: features_of(set(documents[i].as_py()), how.cuts)
+    bad, good, n1 = Counter(), Counter(), int(labels.sum())
+    for i in np.flatnonzero(labels):
+        bad.update(features(i))
+    bad = Counter({f: k for f, k in bad.items() if k >= 3})
+    for i in np.flatnonzero(labels == 0):
+        good.update(features(i) & bad.keys())
+    odds = {f: math.log((k + 0.5) / (n1 + 1)) - math.log((good[f] + 0.5) / (n - n1 + 1)) for f, k in bad.items()}
     suggested = sorted((f for f, z in odds.items() if z > 2.5), key=lambda f: (-odds[f] * math.sqrt(bad[f]), f))[: how.induced]
     voters = {f: k for k, f in enumerate(dict.fromkeys([*how.lexicon, *suggested]))}
-    votes = np.zeros((n, len(voters)))
-    for i, f in enumerate(features):
-        for name in f & voters.keys():
-            votes[i, voters[name]] = 1
+    # features that speak for toxicity, by how much they tell
+    tell = {f: z * math.sqrt(bad[f]) for f, z in odds.items() if z > 1}
+    chosen = {f: k for k, f in enumerate(sorted(tell, key=lambda f: (-tell[f], f))[: how.features])}
+    votes, rows, columns = np.zeros((n, len(voters))), [], []
+    for i in range(n):
+        found = features(i)
+        for f in found & voters.keys():
+            votes[i, voters[f]] = 1
+        columns.append(np.fromiter((chosen[f] for f in found & chosen.keys()), np.int64))
+        rows.append(np.full(len(columns[-1]), i))
     silent = (votes.sum(axis=1, keepdims=True) + matched.sum(axis=1, keepdims=True) == 0).astype(float)  # a voter for clean
     votes = np.hstack([votes, matched, silent])
     target = LabelModel(votes, labels, how.sure, how.rounds).posterior(votes)
-    # features that speak for toxicity, by how much they tell; the classifier learns the posteriors
-    tell = {f: z * math.sqrt(bad[f]) for f, z in odds.items() if z > 1}
-    chosen = {f: k for k, f in enumerate(sorted(tell, key=lambda f: (-tell[f], f))[: how.features])}
-    pairs = [(i, chosen[f]) for i, fs in enumerate(features) for f in fs & chosen.keys()]
-    if not pairs:
+    rows, columns = np.concatenate(rows), np.concatenate(columns)
+    if not len(rows):
         return Toxicity({}, math.log((target.mean() + 1e-3) / (1 - target.mean() + 1e-3)), how.cuts)
-    at = np.array(pairs, np.int64)
-    w, b = logistic(at[:, 0], at[:, 1], n, len(chosen), target, how.least)
-    return Toxicity({f: float(w[k]) for f, k in chosen.items() if abs(w[k]) > 1e-3}, b, how.cuts)
+    w, b = logistic(rows, columns, n, len(chosen), target, how.least)
+    return Toxicity({f: float(w[k]) for f, k in chosen.items() if w[k] > 1e-3}, b, how.cuts)
 
 
 def fit(docs: DataFrame, labels: DataFrame, how: WeakSupervision = WeakSupervision(), doc_id: str = "doc_id", text: str = "text") -> Toxicity:
@@ -181,7 +186,7 @@ def fit(docs: DataFrame, labels: DataFrame, how: WeakSupervision = WeakSupervisi
     taught = rows.join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text").mapInArrow(run, "doc_id long, label int, words array<string>, hits array<tinyint>")
     table = taught.toArrow().sort_by("doc_id")
     hits = np.array(table["hits"].to_pylist(), float).reshape(-1, len(patterns))
-    return train([set(x) for x in table["words"].to_pylist()], hits, np.array(table["label"].to_pylist(), int), how)
+    return train(table["words"].combine_chunks(), hits, np.array(table["label"].to_pylist(), int), how)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, how: WeakSupervision = WeakSupervision(), doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
