@@ -253,7 +253,155 @@ def simhash_groups(docs: DataFrame, how: SimHash = SimHash(), doc_id: str = "doc
     return joined.select("doc_id", F.lpad(F.lower(F.hex("code")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, how: SimHash = SimHash(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of `docs` whose id is the smallest of its component, with all their columns; rows without an id stay."""
-    gone = simhash_groups(docs, how, doc_id, text).where("doc_id <> component_id").select(F.col("doc_id").alias(doc_id)).distinct()
+
+# -- near duplicates by similarity ------------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Similar:
+    """words, least: near duplicates have a Jaccard similarity of at least `least` on shingles of `words` words.
+    prints: fingerprints per text, over its distinct words. A word in fifty changed turns about four bits of 64, so
+    one of four fingerprints is within `radius` nearly always. whole: members of a bucket's component up to which
+    all its links are compared; larger ones compare each member with the first one and `beside` neighbours in Gray order."""
+
+    words: int = 5
+    least: float = 0.8
+    prints: int = 6
+    radius: int = 4
+    blocks: int = 6
+    whole: int = 16
+    beside: int = 4
+
+
+def word_prints(text: bytes, n: int) -> list[int]:
+    """`n` fingerprints over the distinct words; words of up to three letters, which most texts share, are left out
+    unless there are no others."""
+    words = set(text.lower().split())
+    words = [w for w in words if len(w) > 3] or list(words)
+    return [majority(np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))) for seed in range(n)]
+
+
+def _pairs(codes: np.ndarray, how: Similar) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs of a bucket to compare."""
+    m = len(codes)
+    if m <= 64:
+        a, b = np.nonzero(np.triu(np.bitwise_count(codes[:, None] ^ codes[None, :]) <= how.radius, 1))
+        label = np.arange(m)
+        _unite(label, a, b)
+        order = np.arange(m)
+        few = np.bincount(label, minlength=m)[label] <= how.whole
+        a, b = a[few[a]], b[few[a]]
+    else:
+        index = GrayIndex(codes, 8)
+        order, label = index.order, np.arange(m)
+        parts = []
+        for start in range(0, m, 512):
+            q, place = index.links(index.codes[start : start + 512], how.radius)
+            q = q + start
+            _unite(label, q, place)
+            # kept for later are only the first links of each member; if it turns out to have more, they aren't used
+            rank = np.arange(len(q)) - np.searchsorted(q, q)
+            some = (q < place) & (rank <= how.whole)
+            parts.append((q[some], place[some]))
+        a, b = (np.concatenate(x) for x in zip(*parts, strict=True))
+        few = np.bincount(label, minlength=m)[label] <= how.whole
+        a, b = a[few[a]], b[few[a]]
+    many = np.flatnonzero(~few)
+    if len(many):
+        many = many[np.argsort(label[many], kind="stable")]
+        first, second = [label[many]], [many]
+        for step in range(1, how.beside + 1):
+            same = label[many[step:]] == label[many[:-step]]
+            first.append(many[:-step][same])
+            second.append(many[step:][same])
+        a, b = np.concatenate([a, *first]), np.concatenate([b, *second])
+    keep = a != b
+    return order[a[keep]], order[b[keep]]
+
+
+def _search_pairs(batches: Iterator[pa.RecordBatch], how: Similar) -> Iterator[pa.RecordBatch]:
+    held = [np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64)]
+
+    def found(key: np.ndarray, code: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+        starts = np.flatnonzero(np.diff(key, prepend=key[:1] - 1)) if len(key) else np.empty(0, np.int64)
+        out = []
+        for i, j in zip(starts, np.append(starts[1:], len(key)), strict=True):
+            if j - i > 1:
+                a, b = _pairs(code[i:j], how)
+                out.append((ids[i:j][a], ids[i:j][b]))
+        if out:
+            a, b = (np.concatenate(x) for x in zip(*out, strict=True))
+            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+
+    for batch in batches:
+        new = [batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy()]
+        held = [np.concatenate(x) for x in zip(held, new, strict=True)]
+        cut_at = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
+        yield from found(*(x[:cut_at] for x in held))
+        held = [x[cut_at:] for x in held]
+    yield from found(*held)
+
+
+def candidates(docs: DataFrame, how: Similar, doc_id: str, text: str) -> DataFrame:
+    """(a, b): pairs of ids, one of whose fingerprints are within the radius, to be compared."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes = [word_prints((x.as_py() or "").encode("utf-8", "surrogatepass"), how.prints) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.list_(pa.int64()))], names=["id", "codes"])
+
+    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).where("id is not null")
+    routes = _routes(SimHash(radius=how.radius, blocks=how.blocks))
+    keys = F.array(*(F.struct(F.lit(n).alias("route"), F.lit(m).alias("mask")) for n, (m, _) in enumerate(routes)))
+    each = rows.mapInArrow(run, "id long, codes array<long>").select("id", F.posexplode("codes").alias("print", "code"))
+    keyed = each.select("id", "code", "print", F.explode(keys).alias("r"))
+    key = F.xxhash64("print", "r.route", F.col("code").bitwiseAND(F.col("r.mask")))
+    laid = keyed.select(key.alias("key"), "code", "id").repartition("key").sortWithinPartitions("key")
+    return laid.mapInArrow(partial(_search_pairs, how=how), "a long, b long").distinct()
+
+
+def shingle_sets(docs: DataFrame, how: Similar, doc_id: str, text: str) -> DataFrame:
+    """(id, s): the distinct shingle hashes of each text, sorted, as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes((x.as_py() or "").encode("utf-8", "surrogatepass"), how.words, 42)).tobytes() for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "s"])
+
+    return docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "id long, s binary")
+
+
+def similar_links(docs: DataFrame, how: Similar = Similar(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(a, b, similarity) of the candidates whose similarity, computed from whole texts, is high enough."""
+    prepare(docs.sparkSession)
+    pairs = cut(candidates(docs, how, doc_id, text))
+    named = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    # ids are in few pairs each, so no side of these joins has a hot key; sets of texts in no pair are never made
+    some = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias(text)).join(named, "id", "left_semi")
+    sets = cut(shingle_sets(some, how, "id", text))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            value = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                value.append(both / max(1, len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(value, pa.float64())], names=["a", "b", "similarity"])
+
+    left, right = sets.select(F.col("id").alias("a"), F.col("s").alias("x")), sets.select(F.col("id").alias("b"), F.col("s").alias("y"))
+    met = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
+    return met.mapInArrow(run, "a long, b long, similarity double").where(F.col("similarity") >= how.least)
+
+
+def drop_near_copies(docs: DataFrame, how: Similar = Similar(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of `docs` but those that are linked to a smaller id, directly or over others, with all their columns.
+
+    Links are pairs of texts with a similarity of `how.least` on shingles of `how.words` words; SimHash and the
+    Gray-order index find them, whole texts confirm them. Rows without an id stay; empty texts are like one another
+    only to the exact operator. Ids are taken to be unique.
+    """
+    roots = components(similar_links(docs, how, doc_id, text).select("a", "b"))
+    gone = roots.where("node <> root").select(F.col("node").alias(doc_id)).distinct()
     return docs.join(gone, doc_id, "left_anti")
