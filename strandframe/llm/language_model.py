@@ -93,8 +93,16 @@ class Vocabulary:
 
 def vocabulary(counts: DataFrame, how: HiddenMarkov) -> Vocabulary:
     """The corpus totals cover all tokens; what is carried is bounded by parameters."""
-    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.col("c").desc(), "token").limit(how.carried).collect()
+    # the least count of a carried token, from a histogram of at most a thousand bins; single counts have their own bins,
+    # so no more than `how.carried` tokens are collected, however many tasks there are
+    bins = counts.groupBy(F.floor(F.log2("c") * 16).alias("bin")).agg(F.min("c").alias("c"), F.count("*").alias("n"), F.sum("c").alias("mass")).orderBy(F.col("bin").desc()).collect()
+    total, distinct, least, n = sum(r["mass"] for r in bins), sum(r["n"] for r in bins), None, 0
+    for r in bins:
+        n += r["n"]
+        if n > how.carried:
+            break
+        least = r["c"]
+    top = [] if least is None else sorted(counts.where(F.col("c") >= least).collect(), key=lambda r: (-r["c"], bytes(r["token"])))
     carried = {bytes(r["token"]): (k if k < how.own else how.own + class_of(bytes(r["token"]), how.classes), r["c"]) for k, r in enumerate(top)}
     own = {t for t, (s, _) in carried.items() if s < how.own}
 
