@@ -45,7 +45,7 @@ def captures(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     groups = rows.where("same is not null").groupBy("same").agg(F.max("page_id").alias("last"), F.count("*").alias("n"))
     groups = cut(groups.where("n > 1"))
     joined = attach(rows, groups, "same", "n", pages.count())
-    return joined.withColumn("refers_to", F.when(F.col("last") != F.coalesce("page_id", F.lit(-1)), F.col("last"))).drop("last", "same")
+    return joined.withColumn("refers_to", F.when(~F.col("last").eqNullSafe(F.col("page_id")), F.col("last"))).drop("last", "same")
 
 
 def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", html: str = "html") -> None:
