@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, attach, cut, prepare
+from .common import BROADCAST_ROWS, attach, cut, prepare, without
 from .graph import components
 
 
@@ -204,7 +204,9 @@ def _search(batches: Iterator[pa.RecordBatch], how: SimHash) -> Iterator[pa.Reco
     rest_key, rest_code = np.empty(0, np.int64), np.empty(0, np.uint64)
 
     def found(key: np.ndarray, code: np.ndarray) -> Iterator[pa.RecordBatch]:
-        starts = np.flatnonzero(np.diff(key, prepend=key[:1] - 1)) if len(key) else np.empty(0, np.int64)
+        if not len(key):
+            return
+        starts = np.flatnonzero(np.diff(key, prepend=key[:1] - 1))
         ends = np.append(starts[1:], len(key))
         links = [bucket_links(code[a:b], how) for a, b in zip(starts, ends, strict=True) if b - a > 1]
         if links:
@@ -323,8 +325,9 @@ def _search_pairs(batches: Iterator[pa.RecordBatch], how: Similar) -> Iterator[p
     held = [np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64)]
 
     def found(key: np.ndarray, code: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
-        starts = np.flatnonzero(np.diff(key, prepend=key[:1] - 1)) if len(key) else np.empty(0, np.int64)
-        out = []
+        if not len(key):
+            return
+        starts, out = np.flatnonzero(np.diff(key, prepend=key[:1] - 1)), []
         for i, j in zip(starts, np.append(starts[1:], len(key)), strict=True):
             if j - i > 1:
                 a, b = _pairs(code[i:j], how)
@@ -404,4 +407,4 @@ def drop_near_copies(docs: DataFrame, how: Similar = Similar(), doc_id: str = "d
     """
     roots = components(similar_links(docs, how, doc_id, text).select("a", "b"))
     gone = roots.where("node <> root").select(F.col("node").alias(doc_id)).distinct()
-    return docs.join(gone, doc_id, "left_anti")
+    return without(docs, gone, doc_id)
