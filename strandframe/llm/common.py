@@ -87,3 +87,20 @@ def attach(rows: DataFrame, table: DataFrame, key: str, weight: str, total: int,
     first = rows.join(F.broadcast(table.where(hot).drop(weight).withColumn("__hot", F.lit(True))), key, "left")
     rest = first.where("__hot is null").drop("__hot", *extra).join(table.where(~hot).drop(weight), key, "left")
     return first.where("__hot").drop("__hot").unionByName(rest)
+
+
+#: Ids up to which a measured list of dropped rows is broadcast: 8 bytes each, about 24 MB as a hash table.
+BROADCAST_IDS = 1_000_000
+
+
+def within(docs: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
+    """The rows of `docs` whose `key` is in `ids`. The ids are written and counted first: up to BROADCAST_IDS they are broadcast
+    and no text is shuffled; beyond that both sides are dealt out by the key, which no id can overload."""
+    ids = cut(ids)
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids, key, how)
+
+
+def without(docs: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """The rows of `docs` whose `key` isn't in `gone`, in the same way."""
+    return within(docs, gone, key, "left_anti")

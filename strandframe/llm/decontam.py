@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from itertools import islice
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -178,7 +179,22 @@ def contaminated(
     return spark.createDataFrame([], schema) if found is None else found
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, how: Tiling = Tiling(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents without a row in `contaminated`, with all their columns."""
-    hit = contaminated(docs, benchmark, how, doc_id, text).select(F.col("doc_id").alias(doc_id)).distinct()
-    return docs.join(hit, doc_id, "left_anti")
+def _holds(load):
+    """A column function: whether a text covers enough of any item of a block."""
+
+    @F.pandas_udf("boolean")
+    def holds(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: bool(load().find(t or ""))).astype(bool)
+
+    return holds
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, how: Tiling = Tiling(), text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of `docs` that have no row in `contaminated`, with all their columns. Rows are judged where they are read, one
+    block of items after the other; nothing is joined or shuffled."""
+    spark = prepare(docs.sparkSession)
+    items = benchmark.select(F.col(item_id).cast("long"), F.col(item_text).cast("string")).toLocalIterator()
+    while block := list(islice(items, how.block)):
+        holds = _holds(ship(spark, Items([tuple(r) for r in block], how)))
+        docs = docs.where(~holds(F.coalesce(F.col(text).cast("string"), F.lit(""))))
+    return docs

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, cut, prepare
+from .common import SPACES, cut, prepare, without
 
 #: Characters of the normalised text in a splitter. Splitters are sampled by the driver, so they must be short.
 HEAD = 64
@@ -102,4 +102,4 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of `docs` that `exact_groups` keeps, with all their columns. Ids are taken to be unique."""
     gone = exact_groups(docs, doc_id, text).where("not kept").select(F.col("doc_id").alias(doc_id))
-    return docs.join(gone, doc_id, "left_anti")
+    return without(docs, gone, doc_id)

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, attach, cut, prepare, without
+from .common import BROADCAST_ROWS, attach, cut, prepare, within, without
 from .graph import components
 
 
@@ -381,7 +381,7 @@ def similar_links(docs: DataFrame, how: Similar = Similar(), doc_id: str = "doc_
     pairs = cut(candidates(docs, how, doc_id, text))
     named = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     # ids are in few pairs each, so no side of these joins has a hot key; sets of texts in no pair are never made
-    some = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias(text)).join(named, "id", "left_semi")
+    some = within(docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias(text)), named, "id")
     sets = cut(shingle_sets(some, how, "id", text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

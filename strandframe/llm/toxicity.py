@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -215,7 +216,13 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, how: WeakSupervision = W
     return scored.select("doc_id", held_out(F.col("doc_id"), how.folds, how.held).alias("held_out"), "score", "predicted")
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, how: WeakSupervision = WeakSupervision(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that aren't predicted toxic, with all their columns."""
-    gone = toxicity_scores(docs, labels, how, doc_id, text).where("predicted = 1").select(F.col("doc_id").alias(doc_id)).distinct()
-    return docs.join(gone, doc_id, "left_anti")
+def drop_toxic(docs: DataFrame, labels: DataFrame, how: WeakSupervision = WeakSupervision(), doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
+    """The rows of `docs` that `toxicity_scores` doesn't predict to be toxic, with all their columns. Rows are judged where
+    they are read; nothing is joined or shuffled."""
+    load = ship(prepare(docs.sparkSession), fit(docs, labelled(labels, label), how, doc_id, text))
+
+    @F.pandas_udf("boolean")
+    def toxic(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: load().score(t or "") >= 0.5).astype(bool)
+
+    return docs.where(~toxic(F.coalesce(F.col(text).cast("string"), F.lit(""))))
