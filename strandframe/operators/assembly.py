@@ -2,23 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandframe.functions import sequence as S
 from strandframe.operators.kmers import explode_kmers
+from strandframe.operators.lineage import cut
 from strandframe.operators.match import best_per_group
 
 
-def _checkpoint(df: DataFrame) -> DataFrame:
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strandframe-"))
-    return df.checkpoint()
-
-
 def resolve_ks(k: int | None = None, low: int | None = None, high: int | None = None, step: int = 2) -> list[int]:
     """The values of k: one, or a range of which a missing end is the other one."""
     if k is not None:
@@ -65,12 +57,12 @@ def paths(table: DataFrame, rounds: int = 64) -> DataFrame:
     both = F.array(
         F.struct(F.col("core").alias("o"), F.col("l").alias("l"), F.col("r").alias("r")), F.struct(rc(F.col("core")).alias("o"), comp(F.col("r")).alias("l"), comp(F.col("l")).alias("r"))
     )
-    nodes = _checkpoint(good.select("k", F.explode(both).alias("n")).select("k", "n.o", "n.l", "n.r"))
+    nodes = cut(good.select("k", F.explode(both).alias("n")).select("k", "n.o", "n.l", "n.r"))
     before = F.concat("l", F.expr("substring(o, 1, length(o) - 1)"))
     wanted = nodes.select("k", "o", "l", before.alias("p"))
     other = nodes.select("k", F.col("o").alias("p"), F.col("r").alias("p_right"))
     linked = wanted.join(other, ["k", "p"], "left").withColumn("ok", F.col("p_right").isNotNull() & (F.col("p_right") == F.expr("substring(o, -1)")) & (S.canonical(F.col("p")) != S.canonical(F.col("o"))))
-    state = _checkpoint(linked.select("k", "o", F.when(F.col("ok"), F.col("p")).otherwise(F.col("o")).alias("to"), F.when(F.col("ok"), F.lit(1)).otherwise(F.lit(0)).cast("long").alias("d"), (~F.coalesce("ok", F.lit(False))).alias("ended")))
+    state = cut(linked.select("k", "o", F.when(F.col("ok"), F.col("p")).otherwise(F.col("o")).alias("to"), F.when(F.col("ok"), F.lit(1)).otherwise(F.lit(0)).cast("long").alias("d"), (~F.coalesce("ok", F.lit(False))).alias("ended")))
     open_before = None
     for _ in range(rounds):
         still = state.where("not ended").count()
@@ -79,7 +71,7 @@ def paths(table: DataFrame, rounds: int = 64) -> DataFrame:
         open_before = still
         ahead = state.select("k", F.col("o").alias("to"), F.col("to").alias("to2"), F.col("d").alias("d2"), F.col("ended").alias("ended2"))
         moving = state.where("not ended").select("k", "o", "to", "d").join(ahead, ["k", "to"]).select("k", "o", F.col("to2").alias("to"), (F.col("d") + F.col("d2")).alias("d"), F.col("ended2").alias("ended"))
-        state = _checkpoint(state.where("ended").unionByName(moving))
+        state = cut(state.where("ended").unionByName(moving))
     placed = state.where("ended").join(nodes, ["k", "o"])
     whole = placed.groupBy("k", F.col("to").alias("head")).agg(F.max(F.when(F.col("d") == 0, F.col("l"))).alias("first"), F.array_sort(F.collect_list(F.struct("d", "r", "o"))).alias("s"))
     seq = F.concat("first", "head", F.array_join(F.col("s.r"), ""))
@@ -92,7 +84,7 @@ def contigs(kmers: DataFrame, least: int | None = None) -> DataFrame:
     A contig is two or more overlapping k-mers of which no inner (k-1)-mer has a second continuation. ambiguous_ends:
     at how many ends a core with more than one continuation follows; 9 for a contig of one core between two.
     """
-    table = _checkpoint(cores(kmers))
+    table = cut(cores(kmers))
     found = paths(table)
     hard = table.where("size(lefts) > 1 or size(rights) > 1").select("k", "core")
     size = F.length("seq")
@@ -109,7 +101,7 @@ def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
     sorted partition and partitions get offsets (one row per partition is broadcast)."""
     from pyspark.sql import Window
 
-    laid = _checkpoint(df.orderBy(*order).withColumn("__part", F.spark_partition_id()).withColumn("__id", F.monotonically_increasing_id()))
+    laid = cut(df.orderBy(*order).withColumn("__part", F.spark_partition_id()).withColumn("__id", F.monotonically_increasing_id()))
     sizes = laid.groupBy("__part").agg(F.count("*").alias("__n"), F.min("__id").alias("__first"))
     starts = sizes.select("__part", "__first", (F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("__start"))
     return laid.join(F.broadcast(starts), "__part").withColumn(name, F.col("__id") - F.col("__first") + F.col("__start") + 1).drop("__part", "__id", "__first", "__start", "__n")
@@ -136,7 +128,7 @@ def seed_extensions(seeds: DataFrame, kmers: DataFrame, ks: list[int], purged: b
         if not purged:
             inner = explode_kmers(long.select(seed_id, F.length(seq).alias("len"), seq), k, [seed_id, "len"], seq).where(f"pos > 0 and pos < len - {k}")
             table = table.join(cores(inner.select("kmer")).select("k", "core"), ["k", "core"], "left_anti")
-        found = paths(_checkpoint(table)).select("seq").withColumnRenamed("seq", "path")
+        found = paths(cut(table)).select("seq").withColumnRenamed("seq", "path")
         ends = F.array(
             F.struct(F.lit("L").alias("side"), F.expr(f"substring({seq}, 1, {k})").alias("mer"), S.canonical(F.expr(f"substring({seq}, 1, {k - 1})")).alias("core")),
             F.struct(F.lit("R").alias("side"), F.expr(f"substring({seq}, -{k})").alias("mer"), S.canonical(F.expr(f"substring({seq}, -{k - 1})")).alias("core")),

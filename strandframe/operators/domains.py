@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandframe.operators.lineage import cut
+
 
 def hit_coordinates(hits: DataFrame) -> DataFrame:
     """Hits of a domain table (target, description, ali_from, ali_to in residues, target_len) in bases.
@@ -72,7 +74,7 @@ def orfs_of_groups(groups: DataFrame, hits: DataFrame, seqs: DataFrame, gap: int
         placed = placed.select(*key, (F.col("start") + F.col("lo") - 1).alias("start"), (F.col("end") + F.col("lo") - 1).alias("end"), "frame", "has_stop", ((F.col("lo") == 1) & (F.col("hi") == F.col("len"))).alias("whole"))
         used = assign_orfs(hits.join(todo.select(*key), key), placed.drop("group_no").select(target, "strand", "start", "end", "has_stop").distinct(), target)
         used = used.select(*key, F.col("orf_start").alias("start"), F.col("orf_end").alias("end")).groupBy(*key, "start", "end").agg(F.count("*").alias("hits"))
-        rows = placed.join(used, [*key, "start", "end"]).checkpoint() if seqs.sparkSession.sparkContext.getCheckpointDir() else placed.join(used, [*key, "start", "end"])
+        rows = cut(placed.join(used, [*key, "start", "end"]))
         again = rows.where("not has_stop and not whole").select(*key).distinct() if extend and step < rounds - 1 else None
         kept = rows if again is None else rows.join(again, key, "left_anti")
         done = kept.drop("whole") if done is None else done.unionByName(kept.drop("whole"))
