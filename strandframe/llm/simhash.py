@@ -360,7 +360,8 @@ def candidates(docs: DataFrame, how: Similar, doc_id: str, text: str) -> DataFra
     each = rows.mapInArrow(run, "id long, codes array<long>").select("id", F.posexplode("codes").alias("print", "code"))
     keyed = each.select("id", "code", "print", F.explode(keys).alias("r"))
     key = F.xxhash64("print", "r.route", F.col("code").bitwiseAND(F.col("r.mask")))
-    laid = keyed.select(key.alias("key"), "code", "id").repartition("key").sortWithinPartitions("key")
+    # sorted to the last column, so that what a large component compares doesn't depend on the order of arrival
+    laid = keyed.select(key.alias("key"), "code", "id").repartition("key").sortWithinPartitions("key", "code", "id")
     return laid.mapInArrow(partial(_search_pairs, how=how), "a long, b long").distinct()
 
 
