@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, attach, cut, prepare, within, without
+from .common import BROADCAST_IDS, BROADCAST_ROWS, attach, cut, prepare, ship, within, without
 from .graph import components
 
 
@@ -347,7 +347,7 @@ def _search_pairs(batches: Iterator[pa.RecordBatch], how: Similar) -> Iterator[p
 
 
 def candidates(docs: DataFrame, how: Similar, doc_id: str, text: str) -> DataFrame:
-    """(a, b): pairs of ids, one of whose fingerprints are within the radius, to be compared."""
+    """(a, b): pairs of ids, one of whose fingerprints are within the radius, to be compared; not all of a large component."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -376,12 +376,11 @@ def shingle_sets(docs: DataFrame, how: Similar, doc_id: str, text: str) -> DataF
     return docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "id long, s binary")
 
 
-def similar_links(docs: DataFrame, how: Similar = Similar(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(a, b, similarity) of the candidates whose similarity, computed from whole texts, is high enough."""
-    prepare(docs.sparkSession)
-    pairs = cut(candidates(docs, how, doc_id, text))
+def _confirmed(pairs: DataFrame, docs: DataFrame, how: Similar, doc_id: str, text: str) -> DataFrame:
+    """(a, b, similarity) of the pairs whose similarity, computed from whole texts, is high enough."""
+    pairs = cut(pairs)
     named = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    # ids are in few pairs each, so no side of these joins has a hot key; sets of texts in no pair are never made
+    # sets of texts in no pair are never made; an id that many pairs name costs its set once for each
     some = within(docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias(text)), named, "id")
     sets = cut(shingle_sets(some, how, "id", text))
 
@@ -399,11 +398,166 @@ def similar_links(docs: DataFrame, how: Similar = Similar(), doc_id: str = "doc_
     return met.mapInArrow(run, "a long, b long, similarity double").where(F.col("similarity") >= how.least)
 
 
+# -- what the fingerprints miss ---------------------------------------------------------------------
+
+#: Texts that the order of shingles is taken from, and shingles at its end. Any order gives all pairs; a good one gives small buckets.
+ORDER_TEXTS, ORDER_SHINGLES = 20_000, 100_000
+#: Bits of a text's parity bitmap.
+PARITY = 1024
+
+
+def _shingles(text: str | None, how: Similar) -> np.ndarray:
+    return np.unique(shingle_hashes((text or "").encode("utf-8", "surrogatepass"), how.words, 42))
+
+
+def frequent_shingles(rows: DataFrame, how: Similar) -> np.ndarray:
+    """The shingles that most of some texts of `rows(id, text)` have, the most frequent last."""
+    parts = max(1, rows.count() // ORDER_TEXTS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.empty(0, np.uint64), *(_shingles(x.as_py(), how) for x in batch.column(0))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], names=["key"])
+
+    some = rows.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == 0).select("text").mapInArrow(run, "key long")
+    counted = some.groupBy("key").count().where("count > 2").orderBy(F.desc("count"), "key").limit(ORDER_SHINGLES)
+    return np.array([r["key"] for r in counted.collect()][::-1], np.int64).view(np.uint64)
+
+
+def prefix(shingles: np.ndarray, frequent: np.ndarray, place: np.ndarray, least: float) -> np.ndarray:
+    """The first shingles of a set in the order of hashes, `frequent` ones last: so many that two sets with a similarity
+    of `least` have one of them in common. `frequent` is sorted, `place` says where each comes in the order."""
+    n = len(shingles)
+    if not n:
+        return shingles
+    at = np.searchsorted(frequent, shingles)
+    common = np.zeros(n, bool) if not len(frequent) else frequent[np.minimum(at, len(frequent) - 1)] == shingles
+    ordered = np.concatenate([shingles[~common], shingles[common][np.argsort(place[at[common]])]])
+    return ordered[: n - int(np.ceil(least * n - 1e-9)) + 1]
+
+
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """A bit for each residue of the shingles, set if an odd number has it: two bitmaps differ in no more bits than the
+    sets differ in shingles."""
+    odd = np.bincount((shingles % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(odd.astype(bool))
+
+
+def _buckets(batches: Iterator[pa.RecordBatch], arrays) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
+    """Whole buckets of a partition that is sorted by its first column, some at a time, with their starts and ends."""
+    held: list[list[np.ndarray]] = []
+
+    def found(some: list[np.ndarray]):
+        starts = np.flatnonzero(np.diff(some[0], prepend=some[0][:1] - 1))
+        return some, starts, np.append(starts[1:], len(some[0]))
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = arrays(batch)
+        held.append(new)
+        if new[0][-1] == held[0][0][0]:  # a bucket over several batches is put together once
+            continue
+        some = [np.concatenate(x) for x in zip(*held, strict=True)]
+        at = int(np.searchsorted(some[0], some[0][-1]))
+        yield found([x[:at] for x in some])
+        held = [[x[at:] for x in some]]
+    if held:
+        yield found([np.concatenate(x) for x in zip(*held, strict=True)])
+
+
+def _mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The entries (key, id, label) of buckets that hold more than one label, as (key, id)."""
+    for (key, ids, label), starts, ends in _buckets(batches, lambda batch: [c.to_numpy() for c in batch.columns]):
+        many = np.minimum.reduceat(label, starts) != np.maximum.reduceat(label, starts)
+        keep = np.repeat(many, ends - starts)
+        yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(ids[keep])], names=["key", "id"])
+
+
+def _close(label: np.ndarray, size: np.ndarray, bits: np.ndarray, how: Similar, step: int = 64, wide: int = 4096) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of all pairs of a bucket with different labels, but those that sizes or bitmaps prove to be less similar than
+    `least`. The members of the most frequent label don't meet each other, so a group that is linked costs no square."""
+    _, place, count = np.unique(label, return_inverse=True, return_counts=True)
+    order = np.argsort(place == count.argmax(), kind="stable")
+    label, size, bits = label[order], size[order], bits[order]
+    few, share = len(label) - count.max(), (1 - how.least) / (1 + how.least)
+    for i in range(0, few, step):
+        x = np.arange(i, min(i + step, few))
+        for j in range(i, len(label), wide):
+            y = np.arange(j, min(j + wide, len(label)))
+            ok = (label[x][:, None] != label[y]) & (x[:, None] < y)
+            ok &= np.minimum(size[x][:, None], size[y]) >= how.least * np.maximum(size[x][:, None], size[y]) - 1e-9
+            a, b = np.nonzero(ok)
+            a, b = x[a], y[b]
+            near = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64) <= share * (size[a] + size[b]) + 1e-9
+            if near.any():
+                yield order[a[near]], order[b[near]]
+
+
+def _search_between(batches: Iterator[pa.RecordBatch], how: Similar) -> Iterator[pa.RecordBatch]:
+    def arrays(batch: pa.RecordBatch) -> list[np.ndarray]:
+        bits = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint64).reshape(batch.num_rows, -1)
+        return [*(c.to_numpy() for c in batch.columns[:4]), bits]
+
+    for (_, ids, label, size, bits), starts, ends in _buckets(batches, arrays):
+        for i, j in zip(starts, ends, strict=True):
+            for a, b in _close(label[i:j], size[i:j], bits[i:j], how):
+                a, b = ids[i:j][a], ids[i:j][b]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+
+def candidates_between(docs: DataFrame, groups: DataFrame, how: Similar, doc_id: str, text: str) -> DataFrame:
+    """(a, b): every pair of ids of different `groups(node, root)` with a similarity of `how.least`, and some others.
+
+    Texts meet in buckets of the shingles of their prefixes, in one of which two so similar texts must lie together.
+    """
+    spark = docs.sparkSession
+    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).where("id is not null")
+    frequent = frequent_shingles(rows, how)
+    by_hash = np.argsort(frequent)
+    order = ship(spark, (frequent[by_hash], by_hash))
+    groups = cut(groups)
+    few = groups.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    named = groups.select(F.col("node").alias("id"), F.col("root").alias("label"))
+    rows = rows.join(F.broadcast(named) if few else named, "id", "left").select("id", F.coalesce("label", "id").alias("label"), "text")
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [prefix(_shingles(x.as_py(), how), *order(), how.least) for x in batch.column(2)]
+            count = [len(x) for x in parts]
+            key = np.concatenate([np.empty(0, np.uint64), *parts]).view(np.int64)
+            ids, label = (np.repeat(batch.column(i).to_numpy(), count) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids), pa.array(label)], names=["key", "id", "label"])
+
+    def bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [_shingles(x.as_py(), how) for x in batch.column(2)]
+            size, bits = pa.array([len(x) for x in sets], pa.int64()), pa.array([parity(x).tobytes() for x in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), size, bits], names=["id", "label", "size", "bits"])
+
+    laid = rows.mapInArrow(entries, "key long, id long, label long").repartition("key").sortWithinPartitions("key")
+    mixed = cut(laid.mapInArrow(_mixed, "key long, id long"))
+    some = within(rows, mixed.select("id").distinct(), "id").mapInArrow(bitmaps, "id long, label long, size long, bits binary")
+    met = mixed.join(some, "id").select("key", "id", "label", "size", "bits").repartition("key").sortWithinPartitions("key")
+    return met.mapInArrow(partial(_search_between, how=how), "a long, b long").distinct()
+
+
+def similar_links(docs: DataFrame, how: Similar = Similar(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(a, b, similarity): pairs of at least `how.least`, which connect all that such pairs connect.
+
+    Fingerprints find most of them. Of what these leave apart, every pair that shares a shingle of its prefixes is compared.
+    """
+    prepare(docs.sparkSession)
+    links = cut(_confirmed(candidates(docs, how, doc_id, text), docs, how, doc_id, text))
+    apart = candidates_between(docs, components(links.select("a", "b")), how, doc_id, text)
+    return links.union(_confirmed(apart, docs, how, doc_id, text))
+
+
 def drop_near_copies(docs: DataFrame, how: Similar = Similar(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of `docs` but those that are linked to a smaller id, directly or over others, with all their columns.
 
     Links are pairs of texts with a similarity of `how.least` on shingles of `how.words` words; SimHash and the
-    Gray-order index find them, whole texts confirm them. Rows without an id stay; empty texts are like one another
+    Gray-order index find most of them, prefixes of shingles the rest, whole texts confirm them. Rows without an id stay; empty texts are like one another
     only to the exact operator. Ids are taken to be unique.
     """
     roots = components(similar_links(docs, how, doc_id, text).select("a", "b"))

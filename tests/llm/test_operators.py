@@ -6,6 +6,7 @@ import math
 import random
 import re
 import zlib
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -204,6 +205,35 @@ def test_similar_texts_recall(spark):
     assert got <= true and len(got) >= 0.95 * len(true) and len(true) > 30
 
 
+def linked(spark, texts):
+    links = simhash.similar_links(documents(spark, texts)).select("a", "b")
+    return {r["node"]: r["root"] for r in graph.components(links).collect()}
+
+
+def brute_linked(texts):
+    label = {i: i for i, _, _ in texts}
+    for (i, x, _), (j, y, _) in combinations(texts, 2):
+        if label[i] != label[j] and jaccard(x, y) >= 0.8:
+            low, high = sorted((label[i], label[j]))
+            label = {k: low if v == high else v for k, v in label.items()}
+    return {i: r for i, r in label.items() if list(label.values()).count(r) > 1}
+
+
+def test_star_of_copies_is_linked_in_full(spark):
+    """Copies that are near to an original, and hardly to each other; its id is in the middle of theirs."""
+    rng = np.random.default_rng(8)
+    base = [f"word{x}" for x in rng.integers(0, 3000, 300)]
+    texts = []
+    for i in range(120):
+        w = list(base)
+        for at in rng.choice(300, 6, replace=False) if i != 60 else ():
+            w[at] = f"word{rng.integers(3000)}"
+        texts.append((i, " ".join(w), None))
+    true = brute_linked(texts)
+    assert len(true) > 100 and sum(jaccard(x[1], y[1]) >= 0.8 for x, y in combinations(texts, 2)) < 0.05 * 120 * 119 / 2
+    assert linked(spark, texts) == true
+
+
 def test_drop_near_copies(spark, odd):
     base = [f"word{i}" for i in range(200)]
     texts = [(1, " ".join(base), None), (2, " ".join([*base[:-1], "new"]), None), (3, " ".join([f"other{i}" for i in range(200)]), None), (4, " ".join(base[:100] + [f"x{i}" for i in range(100)]), None), (None, " ".join(base), None)]
