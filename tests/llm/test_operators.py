@@ -234,6 +234,21 @@ def test_star_of_copies_is_linked_in_full(spark):
     assert linked(spark, texts) == true
 
 
+@pytest.mark.parametrize("kind", ["replaced", "cut", "appended"])
+def test_links_by_kind_of_edit(spark, kind):
+    """Pairs with a similarity of 0.8 to 0.9 after one kind of edit: all that brute force links, and no other."""
+    rng, texts = np.random.default_rng(9), []
+    for g in range(60):
+        n, share = int(rng.integers(80, 600)), rng.uniform(0.11, 0.19)
+        base = [f"word{x}" for x in rng.integers(0, 3000, n)]
+        other = [f"word{x}" for x in rng.integers(0, 3000, n)]
+        rate = 0.02
+        edited = {"replaced": [o if rng.random() < rate else w for w, o in zip(base, other, strict=True)], "cut": base[: int(n * (1 - share))], "appended": base + other[: int(n * share)]}[kind]
+        texts += [(2 * g, " ".join(base), None), (2 * g + 1, " ".join(edited), None)]
+    true = {i: i - i % 2 for i, x, _ in texts if jaccard(x, texts[i ^ 1][1]) >= 0.8}
+    assert len(true) > 40 and linked(spark, texts) == true
+
+
 def test_drop_near_copies(spark, odd):
     base = [f"word{i}" for i in range(200)]
     texts = [(1, " ".join(base), None), (2, " ".join([*base[:-1], "new"]), None), (3, " ".join([f"other{i}" for i in range(200)]), None), (4, " ".join(base[:100] + [f"x{i}" for i in range(100)]), None), (None, " ".join(base), None)]
