@@ -6,7 +6,6 @@ import heapq
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -22,124 +21,170 @@ TOKENS = re.compile(r"\w+")
 @dataclass(frozen=True)
 class Tiling:
     """least: tokens of the shortest tile, and of a seed. coverage: share of a test item's tokens under tiles
-    from which a document counts as contaminated. block: items that one pass over the documents looks for."""
+    from which a document counts as contaminated. block, letters: items that one pass over the documents looks for, and
+    characters of their texts from which a pass takes no more of them."""
 
     least: int = 4
     coverage: float = 0.5
     block: int = 20_000
+    letters: int = 16 << 20
 
 
-BASE = np.uint64(0x9E3779B97F4A7C15)
+BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
 
-def rolling(ids: np.ndarray, width: int) -> np.ndarray:
+def rolling(ids: np.ndarray, width: int, base: int = BASES[0]) -> np.ndarray:
     """Karp-Rabin hash, modulo 2**64, of each window of `width` ids."""
     n = len(ids) - width + 1
     if n <= 0:
         return np.empty(0, np.uint64)
     value = np.zeros(n, np.uint64)
     for k in range(width):
-        value = value * BASE + ids[k : k + n]
+        value = value * np.uint64(base) + ids[k : k + n]
     return value
 
 
-def maximal(i: np.ndarray, j: np.ndarray, least: int) -> list[tuple[int, int, int]]:
-    """Seeds (place in the document, place in the item) joined along diagonals: (length, i, j) of each longest match."""
-    order = np.lexsort((i, i - j))
-    i, j = i[order], j[order]
-    new = np.ones(len(i), bool)
-    new[1:] = (np.diff(i - j) != 0) | (np.diff(i) != 1)
-    at = np.flatnonzero(new)
-    length = np.diff([*at, len(i)]) + least - 1
-    return list(zip(length.tolist(), i[at].tolist(), j[at].tolist(), strict=True))
-
-
-def tile(matches: list[tuple[int, int, int]], least: int) -> list[tuple[int, int, int]]:
-    """Greedy tiling: the longest match that is free is marked, again and again; what is left of one that
-    is partly marked counts as a shorter match. Ties: first in the item, then in the document."""
-    heap = [(-n, j, i) for n, i, j in matches]
-    heapq.heapify(heap)
-    doc, item, tiles = set(), set(), []
-    while heap:
-        n, j, i = heapq.heappop(heap)
-        free = [i + k not in doc and j + k not in item for k in range(-n)]
-        if all(free):
-            tiles.append((-n, i, j))
-            doc.update(range(i, i - n))
-            item.update(range(j, j - n))
+def spread(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all ranges [low, high) one after the other, and which range each is of."""
+    n = high - low
+    which = np.repeat(np.arange(len(low)), n)
+    return np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n), which
+
+
+def tile(n: np.ndarray, i: np.ndarray, j: np.ndarray, least: int, sizes: tuple[int, int]) -> list[tuple[int, int, int]]:
+    """Greedy tiling of matches (length, place in the document, place in the item): the longest one that is free is marked,
+    again and again; what is left of one that is partly marked counts as a shorter match. Ties: first in the item, then in
+    the document. It ends where the item has no room for a tile."""
+    doc, item = np.zeros(sizes[0], bool), np.zeros(sizes[1], bool)
+    order, at, rest, tiles = np.lexsort((i, j, -n)), 0, [], []
+    room = sizes[1]
+    while at < len(order) or rest:
+        if at < len(order):
+            k = order[at]
+            one = -int(n[k]), int(j[k]), int(i[k])
+        if at == len(order) or rest and rest[0] < one:
+            m, y, x = heapq.heappop(rest)
+        else:
+            (m, y, x), at = one, at + 1
+        m = -m
+        taken = doc[x : x + m] | item[y : y + m]
+        if not taken.any():
+            tiles.append((m, x, y))
+            doc[x : x + m] = item[y : y + m] = True
+            edges = np.flatnonzero(np.diff(np.concatenate([[True], item, [True]]).astype(np.int8)))
+            room = int(np.diff(edges)[::2].max(initial=0))
+            if room < least:
+                break
             continue
-        k = 0
-        while k < len(free):
-            if not free[k]:
-                k += 1
-                continue
-            end = k
-            while end < len(free) and free[end]:
-                end += 1
-            if end - k >= least:
-                heapq.heappush(heap, (k - end, j + k, i + k))
-            k = end
+        edges = np.flatnonzero(np.diff(np.concatenate([[True], taken, [True]]).astype(np.int8)))
+        for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+            if b - a >= least:
+                heapq.heappush(rest, (a - b, y + a, x + a))
     return tiles
 
 
 class Items:
-    """A block of test items with their seeds, sorted by hash."""
+    """A block of test items. Windows of `least` tokens that are equal are one class, found by its hash; seeds are sorted by class."""
 
     def __init__(self, rows: list[tuple[int, str]], how: Tiling):
         self.how, self.word = how, {}
-        self.names, self.sizes, hashes, owner, place, tokens = [], [], [], [], [], []
-        for name, text in rows:
-            ids = np.array([self.word.setdefault(w, len(self.word) + 1) for w in TOKENS.findall((text or "").lower())], np.uint64)
-            self.names.append(name)
-            self.sizes.append(len(ids))
-            h = rolling(ids, how.least)
-            hashes.append(h)
-            owner.append(np.full(len(h), len(self.names) - 1, np.int64))
-            place.append(np.arange(len(h)))
-            tokens.append(np.lib.stride_tricks.sliding_window_view(ids, how.least) if len(h) else np.empty((0, how.least), np.uint64))
-        join = lambda x, empty: np.concatenate(x) if x else empty
-        hashes = join(hashes, np.empty(0, np.uint64))
-        order = np.argsort(hashes, kind="stable")
-        self.hashes, self.owner, self.place = hashes[order], join(owner, np.empty(0, np.int64))[order], join(place, np.empty(0, np.int64))[order]
-        self.tokens = join(tokens, np.empty((0, how.least), np.uint64))[order]
+        self.names, self.ids = [name for name, _ in rows], []
+        for _, text in rows:
+            self.ids.append(np.array([self.word.setdefault(w, len(self.word) + 1) for w in TOKENS.findall((text or "").lower())], np.uint64))
+        self.sizes = [len(x) for x in self.ids]
+        width = [max(0, n - how.least + 1) for n in self.sizes]
+        owner, place = np.repeat(np.arange(len(width)), width), np.concatenate([np.empty(0, np.int64), *map(np.arange, width)]).astype(np.int64)
+        windows = np.concatenate([np.empty((0, how.least), np.uint64), *(np.lib.stride_tricks.sliding_window_view(x, how.least) for x, n in zip(self.ids, width, strict=True) if n)])
+        for self.base in BASES:  # equal hashes have to mean equal windows among the items; the next base if they don't
+            hashes = np.concatenate([np.empty(0, np.uint64), *(rolling(x, how.least, self.base) for x in self.ids)])
+            order = np.argsort(hashes, kind="stable")
+            self.hashes, first, of = np.unique(hashes, return_index=True, return_inverse=True)
+            if (windows == windows[first][of]).all():
+                break
+        else:
+            raise RuntimeError("no base tells the windows of this block apart")
+        self.owner, self.place, self.windows = owner[order], place[order], windows[first]
+        self.starts = np.searchsorted(hashes[order], self.hashes)
+        self.ends = np.append(self.starts[1:], len(order))
+
+    def matches(self, ids: np.ndarray, kinds: np.ndarray, at: np.ndarray, own: int, kind: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(length, i, j) of each longest match. kinds, at: windows of the document, of classes of the items. kind, place: the item's.
+
+        A match starts where equal windows follow on different tokens and ends where different ones follow on them. Only
+        these pairs are made, so what repeats a word for long costs no square. On a diagonal starts and ends take turns.
+        """
+        least, item, ends = self.how.least, self.ids[own], []
+        for step in (-1, least):
+            side = lambda x, p, edge: np.where((p + step >= 0) & (p + step < len(x)), x[np.clip(p + step, 0, len(x) - 1)], np.uint64(edge))
+            ours, theirs = side(ids, at, (1 << 64) - 1), side(item, place, (1 << 64) - 2)
+            order = np.lexsort((ours, kinds))
+            k, o, p = kinds[order], ours[order], at[order]
+            low, high = np.searchsorted(k, kind, "left"), np.searchsorted(k, kind, "right")
+            # of the windows of a class those that follow on the item's token stand together; ranks make the pair one number
+            seen, rank = np.unique(np.concatenate([o, theirs]), return_inverse=True)
+            both, wanted = k * len(seen) + rank[: len(o)], kind * len(seen) + rank[len(o) :]
+            a, b = np.searchsorted(both, wanted, "left"), np.searchsorted(both, wanted, "right")
+            x, j = spread(np.concatenate([low, b]), np.concatenate([a, high]))
+            i, j = p[x], np.concatenate([place, place])[j]
+            order = np.lexsort((i, i - j))
+            ends.append((i[order], j[order]))
+        (i, j), (last, _) = ends
+        return last - i + least, i, j
 
     def find(self, text: str) -> list[tuple[int, int, int, int, int]]:
         """(item, covered, size, tiles, longest) of each item of which the text covers enough."""
         least, get = self.how.least, self.word.get
         words = TOKENS.findall(text.lower())
         ids = np.fromiter((get(w, 0) for w in words), np.uint64, len(words))
-        if len(ids) < least:
+        if len(ids) < least or not len(self.hashes):
             return []
         known = np.concatenate([[0], np.cumsum(ids > 0)])
-        starts = np.flatnonzero(known[least:] - known[:-least] == least)
-        if not len(starts) or not len(self.hashes):
+        at = np.flatnonzero(known[least:] - known[:-least] == least)
+        if not len(at):
             return []
-        h = rolling(ids, least)[starts]
-        low, high = np.searchsorted(self.hashes, h, "left"), np.searchsorted(self.hashes, h, "right")
-        n = high - low
-        if not (total := int(n.sum())):
+        h = rolling(ids, least, self.base)[at]
+        kinds = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        same = self.hashes[kinds] == h
+        at, kinds = at[same], kinds[same]
+        same = (ids[at[:, None] + np.arange(least)] == self.windows[kinds]).all(axis=1)
+        at, kinds = at[same], kinds[same]
+        if not len(at):
             return []
-        seed = np.repeat(low, n) + np.arange(total) - np.repeat(np.cumsum(n) - n, n)
-        i = np.repeat(starts, n)
-        same = (ids[i[:, None] + np.arange(least)] == self.tokens[seed]).all(axis=1)
-        i, seed = i[same], seed[same]
-        owner = self.owner[seed]
-        out = []
+        present = np.unique(kinds)
+        seeds, kind = spread(self.starts[present], self.ends[present])
+        kind, owner = present[kind], self.owner[seeds]
         order = np.argsort(owner, kind="stable")
-        i, j, owner = i[order], self.place[seed][order], owner[order]
-        at = np.flatnonzero(np.diff(owner, prepend=-1))
-        for a, b in zip(at, [*at[1:], len(owner)], strict=True):
-            size = self.sizes[owner[a]]
-            most = len(np.unique(np.unique(j[a:b])[:, None] + np.arange(least)))
-            if most < self.how.coverage * size:
+        seeds, kind, owner = seeds[order], kind[order], owner[order]
+        bounds, out = np.flatnonzero(np.diff(owner, prepend=-1)), []
+        for a, b in zip(bounds, [*bounds[1:], len(owner)], strict=True):
+            own, place = int(owner[a]), self.place[seeds[a:b]]
+            size = self.sizes[own]
+            under = np.zeros(size + 1, np.int64)
+            np.add.at(under, place, 1)
+            np.add.at(under, place + least, -1)
+            if np.count_nonzero(np.cumsum(under)) < self.how.coverage * size:
                 continue
-            tiles = tile(maximal(i[a:b], j[a:b], least), least)
+            some = np.isin(kinds, kind[a:b])
+            tiles = tile(*self.matches(ids, kinds[some], at[some], own, kind[a:b], place), least, (len(ids), size))
             covered = sum(x[0] for x in tiles)
             if covered >= self.how.coverage * size:
-                out.append((self.names[owner[a]], covered, size, len(tiles), max(x[0] for x in tiles)))
+                out.append((self.names[own], covered, size, len(tiles), max(x[0] for x in tiles)))
         return out
 
 
+def blocks(benchmark: DataFrame, how: Tiling, item_id: str, item_text: str) -> Iterator[list[tuple[int, str]]]:
+    """The items, some at a time: bounded in number and, but for the last one of a block, in length."""
+    block, letters = [], 0
+    for row in benchmark.select(F.col(item_id).cast("long"), F.col(item_text).cast("string")).toLocalIterator():
+        block.append(tuple(row))
+        letters += len(row[1] or "")
+        if len(block) >= how.block or letters >= how.letters:
+            yield block
+            block, letters = [], 0
+    if block:
+        yield block
+
+
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, how: Tiling = Tiling(), doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text"
 ) -> DataFrame:
@@ -151,8 +196,8 @@ def contaminated(
     pairs; on these greedy string tiling marks the longest matches that don't overlap, in any order, and
     coverage is the share of the item's tokens under tiles.
 
-    The items are the query set: they go in blocks of `how.block` past all documents, each block an index
-    that travels to the executors. Null texts count as empty; items of fewer than `how.least` tokens have no
+    The items are the query set: they go in blocks, bounded in number and characters, past all documents, each block an
+    index that travels to the executors. Memory grows with a document's longest matches, not with pairs of windows. Null texts count as empty; items of fewer than `how.least` tokens have no
     seed and match nothing. Repeated documents and items each give rows. Other columns play no part.
     Documents are read in whole; no text is shuffled.
     """
@@ -161,10 +206,9 @@ def contaminated(
     schema = "doc_id long, item_id long, covered int, item_tokens int, coverage double, tiles int, longest int"
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.int32(), pa.int32()]
     names = [x.split()[0] for x in schema.split(", ")]
-    items = benchmark.select(F.col(item_id).cast("long"), F.col(item_text).cast("string")).toLocalIterator()
     found = None
-    while block := list(islice(items, how.block)):
-        sent = ship(spark, Items([tuple(r) for r in block], how))
+    for block in blocks(benchmark, how, item_id, item_text):
+        sent = ship(spark, Items(block, how))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -191,10 +235,10 @@ def _holds(load):
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, how: Tiling = Tiling(), text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of `docs` that have no row in `contaminated`, with all their columns. Rows are judged where they are read, one
-    block of items after the other; nothing is joined or shuffled."""
+    block of items after the other; nothing is joined or shuffled. Null and empty texts hold nothing and stay, repeated rows
+    and rows without an id are judged each by its text, columns may have any names, and without items all rows stay."""
     spark = prepare(docs.sparkSession)
-    items = benchmark.select(F.col(item_id).cast("long"), F.col(item_text).cast("string")).toLocalIterator()
-    while block := list(islice(items, how.block)):
-        holds = _holds(ship(spark, Items([tuple(r) for r in block], how)))
+    for block in blocks(benchmark, how, item_id, item_text):
+        holds = _holds(ship(spark, Items(block, how)))
         docs = docs.where(~holds(F.coalesce(F.col(text).cast("string"), F.lit(""))))
     return docs
