@@ -33,14 +33,32 @@ def _record(kind: str | Column, identity: Column, fields: list[tuple[str, Column
     return F.concat(F.concat_ws(END, *lines), F.lit(f"{END}Content-Length: "), F.octet_length(block).cast("string"), F.lit(END * 2), block)
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """`rows` with bytes, sha1 and `repeat`: null for the first row of a page_id and payload, else a number of its own.
+
+    Most tables repeat no such pair, and then nothing is written. Rows that do are written with their numbers, so that
+    they keep them; the pairs are joined like other keys that may be hot.
+    """
+    rows = rows.withColumn("bytes", F.octet_length("payload").cast("long")).withColumn("sha1", F.sha1("payload"))
+    pair = F.concat_ws("|", F.coalesce(F.col("page_id").cast("string"), F.lit("null")), "sha1")
+    pairs = cut(rows.select(pair.alias("pair")).groupBy("pair").agg(F.count("*").alias("pairs")).where("pairs > 1"))
+    total = pairs.agg(F.sum("pairs")).first()[0]
+    if not total:
+        return rows.withColumn("repeat", F.lit(None).cast("long"))
+    marked = attach(rows.withColumn("pair", pair), pairs.withColumn("many", F.lit(True)), "pair", "pairs", rows.count())
+    again = cut(marked.where("many").withColumn("number", F.monotonically_increasing_id()))
+    first = cut(again.groupBy("pair").agg(F.min("number").alias("first"), F.count("*").alias("pairs")))
+    again = attach(again, first, "pair", "pairs", total).withColumn("repeat", F.when(F.col("number") != F.col("first"), F.col("number")))
+    return marked.where("many is null").withColumn("repeat", F.lit(None).cast("long")).drop("pair", "many").unionByName(again.drop("pair", "many", "number", "first"))
+
+
 def captures(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Each page with its payload's size and digest, and `refers_to`: the page that holds the same payload, or null.
 
     Equal payloads are those of one SHA-1 and length. A payload of a third of the pages is one entry of a
     small table that `attach` joins without gathering those pages in a task.
     """
-    rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html), F.lit("")).alias("payload"))
-    rows = rows.withColumn("bytes", F.octet_length("payload").cast("long")).withColumn("sha1", F.sha1("payload"))
+    rows = _numbered(pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html).cast("string"), F.lit("")).alias("payload")))
     rows = rows.withColumn("same", F.when(F.col("bytes") >= LEAST_BYTES, F.concat_ws(":", "sha1", F.col("bytes").cast("string"))))
     groups = rows.where("same is not null").groupBy("same").agg(F.max("page_id").alias("last"), F.count("*").alias("n"))
     groups = cut(groups.where("n > 1"))
@@ -61,18 +79,19 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
         uri = F.replace(uri, F.lit(chr(code)), F.lit(f"%{code:02X}"))
     uri = F.regexp_replace(uri, r"[\x00-\x20\x7F]", "%20")
     target, digest = ("WARC-Target-URI", uri), ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1")))
-    main = record_id("response", F.col("page_id"), F.col("sha1"))
+    own = [F.col("page_id"), F.col("sha1"), F.col("repeat")]
+    main = record_id("response", *own)
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{END}Content-Type: text/html; charset=utf-8{END}Content-Length: "), F.col("bytes").cast("string"), F.lit(END * 2))
     kind = ("Content-Type", F.lit("application/http;msgtype=response"))
     response = _record("response", main, [target, digest, kind], F.concat(http, F.col("payload")))
-    refers = ("WARC-Refers-To", record_id("response", F.col("refers_to"), F.col("sha1")))
+    refers = ("WARC-Refers-To", record_id("response", F.col("refers_to"), F.col("sha1"), F.lit(None)))
     profile = ("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))
     revisit = _record("revisit", main, [target, digest, refers, profile, kind], http)
     with_main = ("WARC-Concurrent-To", main)
     get = F.concat(F.lit("GET "), F.coalesce(uri, F.lit("/")), F.lit(f" HTTP/1.1{END}{END}"))
-    request = _record("request", record_id("request", F.col("page_id"), F.col("sha1")), [target, with_main, ("Content-Type", F.lit("application/http;msgtype=request"))], get)
+    request = _record("request", record_id("request", *own), [target, with_main, ("Content-Type", F.lit("application/http;msgtype=request"))], get)
     facts = F.concat(F.lit("page-id: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(END))
-    metadata = _record("metadata", record_id("metadata", F.col("page_id"), F.col("sha1")), [target, with_main, ("Content-Type", F.lit("application/warc-fields"))], facts)
+    metadata = _record("metadata", record_id("metadata", *own), [target, with_main, ("Content-Type", F.lit("application/warc-fields"))], facts)
     records = F.array(request, F.when(F.col("refers_to").isNull(), response).otherwise(revisit), metadata)
     lines = rows.select(F.explode(records).alias("value"))
     lines.write.mode("errorifexists").option("lineSep", END * 2).option("compression", "gzip").text(folder)
@@ -108,22 +127,26 @@ def read_records(spark: SparkSession, folder: str, blocks: bool = True) -> DataF
     names = [x.split()[0] for x in RECORD.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, at = None, None
+        held, size, whole, at = [], 0, None, None  # pieces of the open record, their bytes, and how many it has
         kinds = [pa.int64() if n == "payload_bytes" else pa.binary() if n == "block" else pa.string() for n in names]
         for batch in batches:
             out = []
             for piece, file in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if file != at:
-                    held, at = None, file
+                    held, size, whole, at = [], 0, None, file
                     piece = piece.removeprefix(b"WARC/")
-                held = piece if held is None else held + BETWEEN + piece
-                head, blank, rest = held.partition(b"\r\n\r\n")
-                if not blank:
-                    continue
-                size = int(next((x.partition(b":")[2] for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:")), b"0"))
-                if len(rest) >= size:
-                    out.append(_parse(head, rest[:size], blocks))
-                    held = None
+                held.append(piece)
+                size += len(piece) + (len(BETWEEN) if len(held) > 1 else 0)
+                if whole is None:
+                    head, blank, _ = BETWEEN.join(held).partition(b"\r\n\r\n")
+                    if not blank:
+                        continue
+                    length = int(next((x.partition(b":")[2] for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:")), b"0"))
+                    whole = len(head) + 4 + length
+                if size >= whole:
+                    data = BETWEEN.join(held)
+                    out.append(_parse(head, data[len(head) + 4 : whole], blocks))
+                    held, size, whole = [], 0, None
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in out], k) for n, k in zip(names, kinds, strict=True)], names=names)
 
@@ -153,12 +176,13 @@ def round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame:
     record_type, refers_to.
 
     Size and digest are computed from the bytes that were read; those of a revisit come from the response it
-    names. One row per distinct pair of page_id and payload: rows that repeat both are one capture, as their
-    records have the same ids. Null html: an empty payload. Null ids are written, and never are referred to
-    unless no id is there. An empty table gives an empty result.
+    names. One row per row of `pages`: rows that repeat page_id and payload are captures with ids of their own, and of
+    those with the largest page_id all are responses, the first of which is referred to. Null html: an empty payload.
+    Null ids are written, and never are referred to unless no id is there. An empty table gives an empty result.
+    Without a `folder` the archives go to the shared one and are deleted once they were read.
     """
     spark = pages.sparkSession
-    folder = folder or shared_folder(spark, "warc")
+    own, folder = folder is None, folder or shared_folder(spark, "warc")
     write_archives(pages, folder)
     nested = assemble(read_records(spark, folder, blocks=False))
     page = F.expr("try_cast(regexp_extract(cast(metadata.block as string), 'page-id: (-?[0-9]+)', 1) as bigint)")
@@ -167,6 +191,9 @@ def round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame:
         F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_sha1").alias("payload_digest"),
     )
     flat = cut(flat)
+    if own:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
     named = flat.where("named is not null").groupBy("named").agg(F.count("*").alias("n"))
     kept = flat.where("record_type = 'response'").select(F.col("capture_id").alias("named"), F.col("page_id").alias("to_page"), F.col("payload_bytes").alias("to_bytes"), F.col("payload_digest").alias("to_digest"))
     table = cut(named.join(kept, "named"))
