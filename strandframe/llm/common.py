@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import pickle
 import sys
 import tempfile
@@ -56,6 +57,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """`cut` for the state of a loop. A checkpoint keeps the optimizer's guess of its size, and that of a join is the product
+    of its sides, so over the rounds the guess gets thousands of digits and planning takes minutes. Here it is left behind."""
+    done = cut(df)
+    plain = done._jdf.sparkSession().internalCreateDataFrame(done._jdf.queryExecution().toRdd(), done._jdf.schema(), False)
+    return DataFrame(plain, df.sparkSession)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files and checkpoints of steps whose results were written and that nothing names
+    any more. By itself it waits for the driver's garbage collector, which a small driver heap may not call for long."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def ship(spark: SparkSession, value) -> Callable:
     """A function that returns `value` on executors; it is broadcast once, with the code it needs. Its size is the caller's to bound."""
     box, memo = spark.sparkContext.broadcast(cloudpickle.dumps(value)), []

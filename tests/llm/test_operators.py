@@ -111,6 +111,26 @@ def test_exact_groups_of_odd_rows(spark, odd):
     assert exact_dedup.drop_copies(odd).columns == odd.columns
 
 
+def test_drop_copies_loses_nothing(spark, odd):
+    """Of each distinct text exactly one row stays, whatever ids rows share or lack."""
+    texts = [(8, "x y", "a"), (8, "x  y", "b"), (9, "z", "c"), (None, "q", "d"), (None, "q", "d"), (3, None, "e"), (2, "", "f"), (4, " ", "g"), (None, "x y", "h"), (4, "\t", "i")]
+    got = sorted((r["doc_id"] or 0, r["text"]) for r in exact_dedup.drop_copies(documents(spark, texts)).collect())
+    assert [g[0] for g in got] == [0, 2, 4, 8, 9] and {g[1].strip() for g in got if g[0] in (2, 4)} == {""}
+    rows = [(i % 7 if i % 3 else None, f"t{i % 5}", str(i)) for i in range(200)]
+    docs = documents(spark, rows)
+    for parts in (1, 3, 40):
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+        try:
+            got = sorted((r["text"], r["doc_id"]) for r in exact_dedup.drop_copies(docs).collect())
+            groups = by_id(exact_dedup.exact_groups(docs), "keep_id", "group_size", "kept")
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+        assert got == [(f"t{k}", min(i for i, t, _ in rows if t == f"t{k}" and i is not None)) for k in range(5)]
+        assert sum(g[2] for x in groups.values() for g in x) == 5 and {g[1] for x in groups.values() for g in x} == {40}
+    assert exact_dedup.drop_copies(empty(spark)).count() == 0
+    assert exact_dedup.drop_copies(odd).count() == len({(r["text"] or "").replace("  ", " ") for r in odd.collect()})
+
+
 # -- 3 ----------------------------------------------------------------------------------------------
 
 
@@ -257,14 +277,56 @@ def test_drop_near_copies(spark, odd):
     assert simhash.drop_near_copies(odd).columns == odd.columns
 
 
-def test_large_groups_stay_linked():
-    """A bucket of a thousand near codes gives few pairs, which still connect it."""
+def test_tree_finds_all_links():
+    """Every pair within the radius is a link of the tree in one of its buckets, and no other pair is."""
     rng = np.random.default_rng(7)
-    codes = np.array([int(1) << int(a) | int(1) << int(b) for a, b in rng.integers(0, 64, (1000, 2))], np.uint64)
-    a, b = simhash._pairs(codes, simhash.Similar())
-    label = np.arange(1000)
-    simhash._unite(label, a, b)
-    assert len(set(label)) == 1 and len(a) < 6 * 1000
+    base = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
+    flips = [int(1) << int(a) | int(1) << int(b) for a, b in rng.integers(0, 64, (1500, 2))]
+    codes = np.unique(np.concatenate([np.array([int(base[i % 60]) ^ f for i, f in enumerate(flips)], np.uint64), base, rng.integers(0, 1 << 63, 3000, dtype=np.uint64)]))
+    how, got = simhash.SimHash(), set()
+    for same, top, of in simhash.routes(how):
+        if of < 0:
+            for index, start, q, place in simhash.chunk_links(codes, top, same, how):
+                got |= {(a, b) for a, b in zip(index.order[q + start].tolist(), index.order[place].tolist(), strict=True) if a < b}
+    a, b = np.nonzero(np.triu(np.bitwise_count(codes[:, None] ^ codes[None, :]) <= 3, 1))
+    assert got == set(zip(a.tolist(), b.tolist(), strict=True)) and len(got) > 1000
+
+
+@pytest.mark.parametrize(("n", "share", "seed"), [(300, 0.02, 1), (300, 0.03, 2), (600, 0.022, 3)])
+def test_large_groups(spark, n, share, seed):
+    """Groups of hundreds of copies, each changed on its own: the components of all pairs by brute force."""
+    rng = np.random.default_rng(seed)
+    base, texts = prose(rng, 300).split(), []
+    for i in range(n):
+        words = [w if rng.random() >= share else f"x{rng.integers(10**6)}" for w in base]
+        texts.append((i, " ".join(words), "s"))
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for _, t, _ in texts)]
+    links = [(a, b) for b in range(n) for a in range(b) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    label = np.arange(n)
+    simhash._unite(label, *np.array(links).T)
+    kept = sorted(r["doc_id"] for r in simhash.drop_near_copies(documents(spark, texts)).collect())
+    assert kept == np.flatnonzero(label == np.arange(n)).tolist() and len(links) > 30
+
+
+def test_near_copies_of_odd_rows(spark):
+    """Of near copies that share an id, too, one row stays, one with the smallest id; rows without an id stay."""
+    rng = np.random.default_rng(11)
+    one, two, three = (prose(rng, 100) for _ in range(3))
+    texts = [(5, one, "a"), (5, one + " y", "b"), (5, two, "c"), (None, one + " z", "d"), (None, three, "e"), (None, three, "e"), (3, two + " t", "f"), (7, None, "g"), (7, None, "g"), (8, "", "h")]
+    got = sorted((r["doc_id"] or 0, r["source"]) for r in simhash.drop_near_copies(documents(spark, texts)).collect())
+    assert [g for g in got if g[1] not in "ab"] == [(0, "d"), (0, "e"), (0, "e"), (3, "f"), (7, "g"), (7, "g"), (8, "h")] and len([g for g in got if g[1] in "ab"]) == 1
+
+
+def test_order_and_parts_lose_nothing(spark):
+    """Buckets that go in many parts, and no bound on what a text is compared with at first, give the same groups."""
+    rng = np.random.default_rng(12)
+    texts = []
+    for g in range(6):
+        base = prose(rng, 80).split()
+        texts += [(g * 20 + i, " ".join([*base[: 80 - rng.integers(0, 12)], *prose(rng, int(rng.integers(0, 8))).split()]), "s") for i in range(20)]
+    plain = {r["doc_id"] for r in simhash.drop_near_copies(documents(spark, texts)).collect()}
+    for how in (simhash.Similar(part=3), simhash.Similar(first=1, then=1, prints=1), simhash.Similar(first=1000)):
+        assert {r["doc_id"] for r in simhash.drop_near_copies(documents(spark, texts), how).collect()} == plain
 
 
 # -- 4 ----------------------------------------------------------------------------------------------
@@ -292,9 +354,29 @@ def test_warc_round_trip(spark, tmp_path):
 
 def test_warc_orphans_and_repeats(spark, tmp_path):
     pages = spark.createDataFrame([(1, "u", "a"), (1, "u", "a")], "page_id long, url string, html string")
-    assert [tuple(r)[:2] for r in warc.round_trip(pages, str(tmp_path / "r")).collect()] == [(1, 1)]
+    assert [tuple(r)[:2] for r in warc.round_trip(pages, str(tmp_path / "r")).collect()] == [(1, 1)] * 2
     records = warc.read_records(spark, str(tmp_path / "r")).where("type = 'request'")
-    assert [r["response"] for r in warc.assemble(records).collect()] == [None]
+    assert [r["response"] for r in warc.assemble(records).collect()] == [None] * 2
+
+
+def test_warc_gives_a_row_for_each_row(spark):
+    """Repeated rows, two urls of a page, two payloads of a page, rows without an id: as many rows as pages, by the query's own SQL."""
+    import duckdb
+    import pandas as pd
+
+    long, other = "long " * 300, "other " * 300
+    data = [(1, "u", long), (1, "v", long), (1, "u", long), (2, "u", long), (2, "w", long), (3, "u", other), (3, "u", "short"), (3, "u", "short"), (None, "u", other), (None, "u", other), (4, None, None), (4, None, None)]
+    pages = spark.createDataFrame(data, "page_id long, url string, html string")
+    got = sorted((tuple(r) for r in warc.round_trip(pages).collect()), key=str)
+    frame = pd.DataFrame(data, columns=["page_id", "url", "html"]).astype({"page_id": "Int64"})
+    con = duckdb.connect()
+    con.register("pages", frame)
+    sql = con.execute(queries.oracle_sql()["op4_warc"])
+    names = [c[0] for c in sql.description]
+    want = sorted((tuple(dict(zip(names, r, strict=True))[c] for c in ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")) for r in sql.fetchall()), key=str)
+    whole = lambda rows: [r for r in rows if r[0] is not None]  # noqa: E731  the SQL says nothing of rows without an id
+    assert whole(got) == whole(want) and len(got) == len(data)
+    assert [r[3:] for r in got if r[0] is None] == [("revisit", 3)] * 2
 
 
 # -- 5 ----------------------------------------------------------------------------------------------
