@@ -41,7 +41,11 @@ def kmers(s: Column, k: int) -> Column:
 
 
 def canonical_kmers(s: Column, k: int) -> Column:
-    return F.transform(kmers(s, k), canonical)
+    """The canonical form of each window. The sequence is complemented once: what stands opposite a window is a window of that."""
+    last = F.length(s) - (k - 1)
+    windows = lambda rc: F.transform(F.sequence(F.lit(1), last), lambda i: F.least(F.substr(s, i, F.lit(k)), F.substr(rc, last + 1 - i, F.lit(k))))
+    # as the element of an array the complement is a variable of the inner loop and not evaluated again for each window
+    return F.when(F.length(s) >= k, F.transform(F.array(reverse_complement(s)), windows)[0]).otherwise(F.array().cast("array<string>"))
 
 
 def only_acgt(s: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strandframe.functions import sequence as S
 from strandframe.operators import assembly, clusters, demultiplex, domains, expression, frequency, genotype, kmers, match, orf, pileup
 from strandframe.plans import views as V
-from strandframe.plans.views import Q_DEPTHS, Q_LONG, Q_READS, Q_SAMPLE_SEQS, Q_SNPS, q_canonical, q_dna, q_rc, q_windows
+from strandframe.plans.views import Q_DEPTHS, Q_LONG, Q_PARTS, Q_READS, Q_SAMPLE_SEQS, Q_SNPS, q_canonical, q_dna, q_rc, q_windows
 from strandframe.sources.writers import length_histogram
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,42 +74,43 @@ def length_counts(spark, d):
 
 # -- matching ---------------------------------------------------------------------------------------
 
-_K = 9
-_SET = f"(select distinct kmer from {q_windows(f'(select * from {Q_READS} where read_id % 50 = 0)', '', 'seq', _K)})"
-_HITS = f"(select read_id, count(*) as hits from {q_windows(Q_READS, 'read_id', 'seq', _K)} where kmer in (select kmer from {_SET}) group by read_id)"
+_M, _K = 13, 9  # of matching and of placing
+_SET = f"(select distinct kmer from {q_windows(Q_PARTS, '', 'seq', _M)})"
+_PLACED = f"(select distinct kmer from {q_windows(Q_PARTS, '', 'seq', _K)})"
+_HITS = f"(select read_id, count(*) as hits from {q_windows(Q_READS, 'read_id', 'seq', _M)} where kmer in (select kmer from {_SET}) group by read_id)"
 
 
-def _set(spark, d):
-    """The reference set is every 50th read by definition of the view."""
-    return kmers.reference_set(V.reads(spark, d).where("read_id % 50 = 0"), _K)
+def _set(spark, d, k=_M):
+    """The reference set is of all parts."""
+    return kmers.reference_set(V.part_sequences(spark, d), k)
 
 
 @query(f"select read_id from {Q_READS} where read_id in (select read_id from {_HITS})")
 def kmatch(spark, d):
-    return match.match_reads(V.reads(spark, d), _set(spark, d), match.MatchOptions(_K)).select("read_id")
+    return match.match_reads(V.reads(spark, d), _set(spark, d), match.MatchOptions(_M)).select("read_id")
 
 
 @query(f"select read_id from {Q_READS} where read_id not in (select read_id from {_HITS})")
 def kmatch_invert(spark, d):
-    return match.match_reads(V.reads(spark, d), _set(spark, d), match.MatchOptions(_K, invert=True)).select("read_id")
+    return match.match_reads(V.reads(spark, d), _set(spark, d), match.MatchOptions(_M, invert=True)).select("read_id")
 
 
 @query(f"select read_id from {_HITS} where hits >= 3 and hits / 56.0 >= 0.06")
 def kmatch_share(spark, d):
-    return match.match_reads(V.reads(spark, d), _set(spark, d), match.MatchOptions(_K, 3, 0.06)).select("read_id")
+    return match.match_reads(V.reads(spark, d), _set(spark, d), match.MatchOptions(_M, 3, 0.06)).select("read_id")
 
 
 @query(f"select read_id, coalesce(hits, 0) as hits from {Q_READS} left join {_HITS} using (read_id)")
 def kmatch_counts(spark, d):
-    return match.match_counts(V.reads(spark, d), _set(spark, d), _K)
+    return match.match_counts(V.reads(spark, d), _set(spark, d), _M)
 
 
 _MATES = f"(select o_orderkey as read_id, unnest([{q_dna('o_orderkey')}, {q_rc(q_dna('o_orderkey + 1'))}]) as seq from orders)"
 
 
-@query(f"select distinct read_id from {q_windows(_MATES, 'read_id', 'seq', _K)} where kmer in (select kmer from {_SET}) group by read_id having count(*) >= 2")
+@query(f"select distinct read_id from {q_windows(_MATES, 'read_id', 'seq', _M)} where kmer in (select kmer from {_SET}) group by read_id having count(*) >= 2")
 def kmatch_paired(spark, d):
-    return match.match_reads(V.paired_reads(spark, d), _set(spark, d), match.MatchOptions(_K, 2), mate="seq2").select("read_id")
+    return match.match_reads(V.paired_reads(spark, d), _set(spark, d), match.MatchOptions(_M, 2), mate="seq2").select("read_id")
 
 
 @query(f"select kmer from {_SET}")
@@ -139,14 +140,14 @@ def idmatch_invert(spark, d):
     return match.match_ids(_lines(spark, d), _ids(spark, d), invert=True)
 
 
-@query(f"select seen as kmer, seq_id, pos + 1 as start, pos + {_K} as \"end\" from {q_windows(Q_LONG, 'seq_id', 'seq', _K)} where kmer in (select kmer from {_SET})")
+@query(f"select seen as kmer, seq_id, pos + 1 as start, pos + {_K} as \"end\" from {q_windows(Q_LONG, 'seq_id', 'seq', _K)} where kmer in (select kmer from {_PLACED})")
 def kmerlocate(spark, d):
-    return match.locate_kmers(V.long_sequences(spark, d), _set(spark, d), _K)
+    return match.locate_kmers(V.long_sequences(spark, d), _set(spark, d, _K), _K)
 
 
-@query(f"select seq_id, count(*) as placed from {q_windows(Q_LONG, 'seq_id', 'seq', _K)} where kmer in (select kmer from {_SET}) group by seq_id")
+@query(f"select seq_id, count(*) as placed from {q_windows(Q_LONG, 'seq_id', 'seq', _K)} where kmer in (select kmer from {_PLACED}) group by seq_id")
 def kmerlocate_totals(spark, d):
-    return match.located_totals(match.locate_kmers(V.long_sequences(spark, d), _set(spark, d), _K))
+    return match.located_totals(match.locate_kmers(V.long_sequences(spark, d), _set(spark, d, _K), _K))
 
 
 # -- frequencies ------------------------------------------------------------------------------------
@@ -405,7 +406,10 @@ def tpm(spark, d):
 
 # -- assembly ---------------------------------------------------------------------------------------
 
-_RUNS = f"(select o_orderkey // 8 as run, string_agg({q_dna('o_orderkey')}, '' order by o_orderkey) || {q_dna('max(o_orderkey) + 1')} as seq, min(o_orderkey) as lo, max(o_orderkey) as hi from orders where o_orderkey % 8 <> 7 group by 1)"
+_TAIL = "case when max(o_orderkey) % 8 = 7 then -max(o_orderkey) - 1 else max(o_orderkey) + 1 end"
+_RUNS = f"(select o_orderkey // 8 as run, string_agg({q_dna('o_orderkey')}, '' order by o_orderkey) || {q_dna(_TAIL)} as seq from orders group by 1)"
+_SEEDS = """(select o_orderkey as k, case when o_orderkey % 8 <> 0 and lag(o_orderkey) over (order by o_orderkey) = o_orderkey - 1 then o_orderkey - 1 end as before,
+  o_orderkey % 8 <> 7 and coalesce(lead(o_orderkey) over (order by o_orderkey) = o_orderkey + 1, false) as inside, case when o_orderkey % 8 = 7 then -o_orderkey - 1 else o_orderkey + 1 end as after from orders)"""
 
 
 def _read_kmers(spark, d):
@@ -417,13 +421,12 @@ def contigs(spark, d):
     return assembly.contigs(_read_kmers(spark, d)).select("seq", F.col("n").cast("long").alias("n"))
 
 
-@query(f"select run as seed_id, seq, 25 as left_k, 25 as right_k from {_RUNS} where hi - lo = 6")
+@query(f"""select k as seed_id, case when before is null then 0 else 25 end as left_k, 25 as right_k,
+  case when before is null then '' else substr({q_dna('before')}, 8) end || {q_dna('k')} || substr({q_dna('after')}, 1, case when inside then 25 else 32 end) as seq from {_SEEDS}""")
 def seed_extension(spark, d):
-    """Seeds are the 64 bases in the middle of each full run."""
+    """Seeds are the 32 letters of every order; within a run they grow up to where the next seed begins."""
     key = F.col("o_orderkey")
-    seeds = V.table(spark, d, "orders").where("o_orderkey % 8 = 3").select(F.floor(key / 8).alias("seed_id"), F.concat(V.dna(key), V.dna(key + 1)).alias("seq"))
-    full = V.table(spark, d, "orders").where("o_orderkey % 8 = 6").select(F.floor(key / 8).alias("seed_id"))
-    seeds = seeds.join(full, "seed_id", "left_semi")
+    seeds = V.table(spark, d, "orders").select(key.alias("seed_id"), V.dna(key).alias("seq"))
     return assembly.extended_seeds(seeds, assembly.seed_extensions(seeds, _read_kmers(spark, d), [25]))
 
 

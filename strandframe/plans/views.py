@@ -20,9 +20,15 @@ def dna(x: Column) -> Column:
 
 
 def reads(spark: SparkSession, d: str) -> DataFrame:
-    """(read_id, seq): neighbours share 32 bases, up to 7 reads of 64 bases make a run of 256."""
+    """(read_id, seq) of every order: neighbours share 32 bases, up to 8 reads of 64 bases make a run of 288. The last read
+    of a run ends in letters of its own, so that the next one starts anew."""
     key = F.col("o_orderkey")
-    return table(spark, d, "orders").where("o_orderkey % 8 <> 7").select(key.alias("read_id"), F.concat(dna(key), dna(key + 1)).alias("seq"))
+    return table(spark, d, "orders").select(key.alias("read_id"), F.concat(dna(key), dna(F.when(key % 8 == 7, -key - 1).otherwise(key + 1))).alias("seq"))
+
+
+def part_sequences(spark: SparkSession, d: str) -> DataFrame:
+    """(seq) of every part; orders of the same number share its letters."""
+    return table(spark, d, "part").select(dna(F.col("p_partkey")).alias("seq"))
 
 
 def sample_sequences(spark: SparkSession, d: str) -> DataFrame:
@@ -110,7 +116,8 @@ def q_windows(source: str, keep: str, seq: str, k: int) -> str:
     return f"(select {keep}{', ' if keep else ''}i - 1 as pos, {cut} as seen, {q_canonical(cut)} as kmer from ({raw}))"
 
 
-Q_READS = f"(select o_orderkey as read_id, {q_dna('o_orderkey')} || {q_dna('o_orderkey + 1')} as seq from orders where o_orderkey % 8 <> 7)"
+Q_READS = f"(select o_orderkey as read_id, {q_dna('o_orderkey')} || {q_dna('case when o_orderkey % 8 = 7 then -o_orderkey - 1 else o_orderkey + 1 end')} as seq from orders)"
+Q_PARTS = f"(select {q_dna('p_partkey')} as seq from part)"
 Q_SAMPLE_SEQS = f"(select l_linenumber as sample, {q_dna('l_orderkey')} as seq, cast(l_quantity as bigint) as weight from lineitem)"
 Q_SNPS = f"""(select o_orderkey as line, o_orderkey // 3 as cluster_id, o_custkey % 32 as pos0, s as seq1,
   substr(s, 1, o_custkey % 32) || substr('ACGT', o_orderkey % 4 + 1, 1) || substr(s, o_custkey % 32 + 2) as seq2
