@@ -3,25 +3,35 @@
 from __future__ import annotations
 
 import re
+import sys
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+# functions that run on executors travel with the task, so executors need not have this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def read_lines(spark: SparkSession, path: str | list[str], check: bool = True) -> DataFrame:
     """(file, value): lines without their ends; blank ones are left out. With `check`, a carriage return raises when
     the rows are read, as Windows line ends would otherwise become part of sequences."""
     rows = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), "value").where("length(trim(value)) > 0")
-    if check:
-        wrong = F.raise_error(F.concat(F.lit("carriage return in "), F.col("file")))
-        rows = rows.withColumn("value", F.when(F.instr("value", "\r") > 0, wrong.cast("string")).otherwise(F.col("value")))
-    return rows
+    return rows.withColumn("value", _checked()) if check else rows
+
+
+def _checked() -> Column:
+    """`value`, which raises where it holds a carriage return."""
+    wrong = F.raise_error(F.concat(F.lit("carriage return in "), F.col("file")))
+    return F.when(F.instr("value", "\r") > 0, wrong.cast("string")).otherwise(F.col("value"))
 
 
 def read_numbered(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(file, line_no, value) with lines in their order in each file. Each file is read whole by one task, which is for
-    tables of moderate size: SNP tables, clusters, matrices. Reads and k-mers don't need it."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    tables of moderate size: SNP tables, clusters, matrices. Reads and k-mers don't need it. Carriage returns raise."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value").withColumn("value", _checked())
     return files.select("file", F.posexplode(F.split("value", "\n")).alias("line_no", "value")).where("length(trim(value)) > 0")
 
 
@@ -44,18 +54,99 @@ def parse_records(lines: DataFrame, column: str = "value") -> DataFrame:
     )
 
 
+class _Fastq:
+    """Four-line records out of lines that come in order. Blank lines between records do no harm; a read may be empty."""
+
+    def __init__(self, file: str, synced: bool):
+        self.file, self.synced, self.head, self.lines = file, synced, [], []
+
+    def add(self, line: str) -> tuple[str, str, str] | None:
+        """The record that the line completes. Until the first start of a record, lines go to `head`: that is a line with
+        `@` of which the one after the next starts with `+`, which no sequence does."""
+        self.lines.append(line)
+        if not self.synced:
+            if len(self.lines) < 3:
+                return None
+            if not (self.lines[0].startswith("@") and self.lines[2].startswith("+")):
+                self.head.append(self.lines.pop(0))
+                return None
+            self.synced = True
+        if len(self.lines) == 1 and not line.strip():
+            self.lines.clear()
+        if self.lines and not self.lines[0].startswith("@") or len(self.lines) == 3 and not self.lines[2].startswith("+"):
+            raise ValueError(f"not FASTQ: {self.lines} in {self.file}")
+        if len(self.lines) < 4:
+            return None
+        name, seq, _, qual = self.lines
+        self.lines = []
+        return name, seq, qual
+
+
+_RECORD = "file string, start long, id string, seq string, qual string, edge boolean, synced boolean, head array<string>, tail array<string>"
+
+
+def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole records of each split (file, start), and for each split an edge row with the lines before and after them."""
+    now, at = None, None
+    strings = pa.list_(pa.string())
+    kinds = {"start": pa.int64(), "edge": pa.bool_(), "synced": pa.bool_(), "head": strings, "tail": strings}
+    schema = pa.schema([(x.split()[0], kinds.get(x.split()[0], pa.string())) for x in _RECORD.split(", ")])
+
+    def edge() -> dict:
+        return {"file": at[0], "start": at[1], "edge": True, "synced": now.synced, "head": now.head if now.synced else now.head + now.lines, "tail": now.lines if now.synced else []}
+
+    for batch in batches:
+        out = []
+        for file, start, line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (file, start) != at:
+                if now:
+                    out.append(edge())
+                now, at = _Fastq(file, start == 0), (file, start)
+            if record := now.add(line):
+                out.append({"file": file, "edge": False, **dict(zip(("id", "seq", "qual"), record, strict=True))})
+        if out:
+            yield pa.RecordBatch.from_pylist(out, schema)
+    if now:
+        yield pa.RecordBatch.from_pylist([edge()], schema)
+
+
+def _stitched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records that go over the ends of splits: (file, splits in their order) to (id, seq, qual)."""
+    for batch in batches:
+        out = []
+        for file, splits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            parser = _Fastq(file, True)
+            for s in splits:
+                for line in s["head"]:
+                    out += [r] if (r := parser.add(line)) else []
+                if s["synced"]:
+                    if any(x.strip() for x in parser.lines):
+                        raise ValueError(f"not FASTQ: {parser.lines} in {file}")
+                    parser.lines = list(s["tail"])
+            if len(parser.lines) == 3 and not parser.lines[1]:
+                out += [r] if (r := parser.add("")) else []  # an empty read whose last line has no end
+            if any(x.strip() for x in parser.lines):
+                raise ValueError(f"not FASTQ: {parser.lines} at the end of {file}")
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (list(zip(*out, strict=True)) or [[], [], []])], names=["id", "seq", "qual"])
+
+
 def read_fastq(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(id, seq, qual) of four-line FASTQ. A record starts after a line end with `@`, where the line after the next
-    starts with `+`; a quality line that starts with `@` is told apart by that. Plain files are split; lines are numbered
-    in their file for it, by one task per file, so convert large files to Parquet once."""
-    lines = read_numbered(spark, path)
-    rows = lines.groupBy("file", F.floor(F.col("line_no") / 4).alias("record")).agg(F.array_sort(F.collect_list(F.struct("line_no", "value"))).alias("s"))
-    return rows.select(F.col("s")[0]["value"].alias("id"), F.col("s")[1]["value"].alias("seq"), F.get("s", F.lit(3))["value"].alias("qual"))
+    """(id, seq, qual) of four-line FASTQ. A quality line may start with `@`, reads may be empty, and blank lines between
+    records do no harm; a carriage return, or lines that aren't records, raise.
+
+    Plain files are read in splits. Each task finds the first start of a record in its split and gives the records that
+    lie whole in it; the few lines around the ends of splits, one small row for each, meet by file in a second step.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value")
+    found = lines.withColumn("value", _checked()).mapInArrow(_records, _RECORD)
+    splits = found.where("edge").groupBy("file").agg(F.array_sort(F.collect_list(F.struct("start", "synced", "head", "tail"))).alias("splits"))
+    return found.where("not edge").select("id", "seq", "qual").unionByName(splits.mapInArrow(_stitched, "id string, seq string, qual string"))
 
 
 def read_fasta(spark: SparkSession, path: str | list[str], ids: list[str] | None = None) -> DataFrame:
     """(id, name, seq): whole header, its first word, and the sequence with its lines joined. `ids` keeps names."""
-    pieces = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", "^>", "").alias("value")).where("length(trim(value)) > 0")
+    pieces = spark.read.option("lineSep", "\n>").text(path).select(F.col("_metadata.file_path").alias("file"), "value").withColumn("value", _checked())
+    pieces = pieces.select(F.regexp_replace("value", "^>", "").alias("value")).where("length(trim(value)) > 0")
     head = F.substring_index("value", "\n", 1)
     body = F.regexp_replace(F.substr("value", F.length(head) + 2), r"\s", "")
     rows = pieces.select(head.alias("id"), F.split(head, " ")[0].alias("name"), body.alias("seq"))

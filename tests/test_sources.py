@@ -153,3 +153,40 @@ def test_command_line(spark, put, tmp_path):
     assert "0\t1\t1" in run("pileupstats", pile)
     with pytest.raises(SystemExit):
         cli.parser().parse_args(["nothing"])
+
+
+def test_fastq_of_odd_files(spark, put):
+    text = "@r1\n\n+\n\n\n@r2 x\nACGT\n+r2\n@@+I\n\n\n@r3\nA\n+\n@\n@r4\nCC\n+\n++\n@r5\n\n+\n"
+    want = [("@r1", "", ""), ("@r2 x", "ACGT", "@@+I"), ("@r3", "A", "@"), ("@r4", "CC", "++"), ("@r5", "", "")]
+    assert rows(R.read_fastq(spark, put("odd.fastq", text))) == want
+    assert R.read_fastq(spark, put("none.fastq", "\n")).count() == 0
+    for wrong in ("@r1\r\nA\r\n+\r\nI\r\n", "@r1\nA\n+\n", "r1\nA\n+\nI\n", "@r1\nA\nA\nI\n"):
+        with pytest.raises(Exception, match="carriage return|not FASTQ"):
+            R.read_fastq(spark, put("wrong.fastq", wrong)).collect()
+    with pytest.raises(Exception, match="carriage return"):
+        R.read_fasta(spark, put("wrong.fa", ">a\r\nAC\r\n")).collect()
+    with pytest.raises(Exception, match="carriage return"):
+        R.read_numbered(spark, put("wrong.txt", "a\r\n")).collect()
+
+
+def test_fastq_over_splits(spark, put):
+    """Splits at any byte give the same reads: quality lines that start like headers, empty reads, blank lines."""
+    import random
+
+    random.seed(3)
+    want, text = [], ""
+    for i in range(300):
+        n = random.choice([0, 1, 2, 5, 30])
+        seq, qual = "".join(random.choices("ACGTN", k=n)), "".join(random.choices("@+I>", k=n))
+        want.append((f"@read{i}", seq, qual))
+        text += f"@read{i}\n{seq}\n+\n{qual}\n" + random.choice(["", "", "\n", "\n\n"])
+    path = put("many.fastq", text)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in (7, 64, 301, 4096):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+            spark.conf.set("spark.sql.files.openCostInBytes", "0")
+            assert sorted(map(tuple, R.read_fastq(spark, path).collect())) == sorted(want)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
