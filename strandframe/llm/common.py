@@ -32,14 +32,18 @@ BROADCAST_ROWS = 50_000
 def prepare(spark: SparkSession) -> SparkSession:
     """Bound the Arrow batches and make sure that checkpoints have a folder.
 
-    The folder is the cluster's `spark.checkpoint.dir`; only where that is unset
-    (a local session) a temporary one is made.
+    The folder is the cluster's `spark.checkpoint.dir`; where that is unset, a local session gets a temporary one, and
+    on a cluster it is an error, as executors don't see the driver's own folders. The bounds stay set in the session,
+    since plans that need them run later.
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strandframe-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="strandframe-"))
     return spark
 
 
