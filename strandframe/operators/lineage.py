@@ -10,9 +10,13 @@ from pyspark.sql import DataFrame
 def cut(df: DataFrame) -> DataFrame:
     """Write `df` to the session's checkpoint folder and go on from there: the plan doesn't grow, and executors may be lost.
 
-    The folder is `spark.checkpoint.dir`; only where that is unset (a local session) a temporary one is made.
+    The folder is `spark.checkpoint.dir`; where that is unset, a local session gets a temporary one, and on a cluster it is
+    an error, as executors don't see the driver's own folders.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strandframe-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="strandframe-"))
     return df.checkpoint()
