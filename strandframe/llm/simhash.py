@@ -404,8 +404,9 @@ def confirmed(pairs: DataFrame, sets: DataFrame, how: Similar) -> DataFrame:
     return met.mapInArrow(run, "a long, b long, similarity double").where(F.col("similarity") >= how.least)
 
 
-def sets_of(rows: DataFrame, ids: DataFrame, how: Similar) -> DataFrame:
-    """(id, s): the shingles of the texts whose id is in `ids`, as bytes, written."""
+def sets_of(rows: DataFrame, pairs: DataFrame, how: Similar) -> DataFrame:
+    """(id, s): the shingles of the texts that `pairs(a, b)` name, as bytes, written."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -618,6 +619,13 @@ def partners(shared: DataFrame, profile: DataFrame, groups: DataFrame, how: Simi
     return laid.mapInArrow(partial(_nearest, how=how, most=most), "x long, y long, more boolean")
 
 
+def prefix_buckets(profile: DataFrame, how: Similar) -> DataFrame:
+    """(key, id, mark): the entries of prefixes that meet others, written."""
+    entries = profile.select(F.explode(F.arrays_zip("prefix", "marks")).alias("entry"), "id").select(F.col("entry.prefix").alias("key"), F.col("entry.marks").alias("mark"), "id")
+    entries = entries.repartition("key").sortWithinPartitions("key", "mark")
+    return cut(entries.mapInArrow(partial(_shared, least=how.least), "key long, id long, mark long"))
+
+
 def similar_groups(docs: DataFrame, how: Similar = Similar(), doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(a, b, similarity): pairs of ids with at least `how.least`, which connect all that such pairs connect; and
     (node, root): each id that has such a pair with the smallest it reaches.
@@ -630,21 +638,18 @@ def similar_groups(docs: DataFrame, how: Similar = Similar(), doc_id: str = "doc
     spark = prepare(docs.sparkSession)
     rows = _rows(docs, doc_id, text)
     pairs = cut(candidates(rows, how))
-    ids = lambda p: p.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    links = settled(confirmed(pairs, sets_of(rows, ids(pairs), how), how))
+    links = settled(confirmed(pairs, sets_of(rows, pairs, how), how))
     groups = settled(components(links.select("a", "b")))
     release(spark)
     profile = profiles(rows, how)
-    entries = profile.select(F.arrays_zip("prefix", "marks").alias("entry"), "id").select(F.explode("entry").alias("entry"), "id").select(F.col("entry.prefix").alias("key"), F.col("entry.marks").alias("mark"), "id")
-    entries = entries.repartition("key").sortWithinPartitions("key", "mark")
-    shared, again = cut(entries.mapInArrow(partial(_shared, least=how.least), "key long, id long, mark long")), None
+    shared, again = prefix_buckets(profile, how), None
     release(spark)
     for most in (how.first, how.then, None):
         met = partners(shared, profile, groups, how, most, again)
         met = cut(met.groupBy("x", "y").agg(F.max("more").alias("more")))
         new = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         new = cut(new.join(pairs, ["a", "b"], "left_anti"))
-        found = settled(confirmed(new, sets_of(rows, ids(new), how), how))
+        found = settled(confirmed(new, sets_of(rows, new, how), how))
         links, pairs = links.union(found), pairs.union(new)
         groups = settled(components(groups.toDF("a", "b").union(found.select("a", "b"))))
         again = cut(met.where("more").select(F.col("x").alias("id")).distinct())
@@ -655,8 +660,16 @@ def similar_groups(docs: DataFrame, how: Similar = Similar(), doc_id: str = "doc
 
 
 def similar_links(docs: DataFrame, how: Similar = Similar(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The pairs of `similar_groups`."""
-    return similar_groups(docs, how, doc_id, text)[0]
+    """(a, b, similarity): every pair of ids with at least `how.least`, by prefixes alone; empty texts and null ids have none.
+
+    These are as many as there are, the square of a group's size. What needs only groups takes `similar_groups`.
+    """
+    spark = prepare(docs.sparkSession)
+    rows = _rows(docs, doc_id, text)
+    profile = profiles(rows, how)
+    met = partners(prefix_buckets(profile, how), profile, spark.createDataFrame([], "node long, root long"), how, None, None)
+    pairs = cut(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    return confirmed(pairs, sets_of(rows, pairs, how), how)
 
 
 def drop_near_copies(docs: DataFrame, how: Similar = Similar(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
