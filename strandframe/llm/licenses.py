@@ -11,170 +11,111 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut, prepare
-
-# Notices of well-known licences, by family. Case and punctuation don't count.
-TEMPLATES = {
-    "mit": (
-        "Released under the MIT License.",
-        "Licensed under the MIT License.",
-        "This project is licensed under the terms of the MIT license.",
-        "SPDX-License-Identifier: MIT",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software.",
-    ),
-    "apache": (
-        "Licensed under the Apache License, Version 2.0.",
-        "Released under the Apache License 2.0.",
-        "SPDX-License-Identifier: Apache-2.0",
-        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
-        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
-    ),
-    "gpl": (
-        "This work is licensed under the GNU General Public License, version 3.",
-        "Released under the GNU General Public License version 2.",
-        "SPDX-License-Identifier: GPL-3.0-or-later",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-        "You should have received a copy of the GNU General Public License along with this program.",
-    ),
-    "lgpl": (
-        "This library is licensed under the GNU Lesser General Public License, version 2.1.",
-        "SPDX-License-Identifier: LGPL-2.1-or-later",
-        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation.",
-    ),
-    "agpl": (
-        "Licensed under the GNU Affero General Public License, version 3.",
-        "SPDX-License-Identifier: AGPL-3.0-only",
-        "You can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation.",
-    ),
-    "bsd": (
-        "Released under the BSD 3-Clause License.",
-        "Licensed under the BSD 2-Clause License.",
-        "SPDX-License-Identifier: BSD-3-Clause",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
-        "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
-    ),
-    "mpl": (
-        "Licensed under the Mozilla Public License, version 2.0.",
-        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-        "SPDX-License-Identifier: MPL-2.0",
-    ),
-    "cc-by": (
-        "Licensed under CC BY 4.0.",
-        "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-        "SPDX-License-Identifier: CC-BY-4.0",
-    ),
-    "cc-by-sa": (
-        "Licensed under CC BY-SA 4.0.",
-        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
-        "SPDX-License-Identifier: CC-BY-SA-4.0",
-    ),
-    "cc-by-nc": (
-        "Licensed under CC BY-NC 4.0.",
-        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
-        "SPDX-License-Identifier: CC-BY-NC-4.0",
-    ),
-    "cc0": (
-        "Dedicated to the public domain under CC0 1.0 Universal.",
-        "The person who associated a work with this deed has dedicated the work to the public domain.",
-        "This is free and unencumbered software released into the public domain.",
-    ),
-}
-# Licence-like notices of no known family, and plain sentences.
-UNKNOWN = (
-    "All rights reserved. No part may be reproduced without written permission of the publisher.",
-    "Use of this material is subject to the terms of a separate license agreement.",
-    "Licensed under the terms of the vendor's proprietary license.",
-    "Released under the Example Community License.",
-    "This software is provided under a commercial license.",
-    "Licensed to the customer for internal use only.",
-    "Distributed under its own license, see the file for details.",
-    "This work is licensed under a custom license, version 1.",
-)
-PLAIN = (
-    "The weather was fine and we walked along the river for an hour.",
-    "He used the work of the person who came before him.",
-    "It is a matter of time and of the right conditions.",
-    "The files are in the folder, and any copy of them will do.",
-    "A general of the army met the public at the gate.",
-    "We can use it and modify the plan at any later time.",
-    "She published a version of the story in the city paper.",
-    "The driving license expired and the police kept a copy.",
-    "This program on the radio is free for any person.",
-    "By the terms of the game you may not move twice.",
-    "The source of the river is in the mountains to the north.",
-    "You should have received the letter along with the book.",
-    "And the of to in that for it was on with as at by from this is are be.",
-    "The rights of the people and the use of the land were discussed.",
-)
+from .common import BROADCAST_ROWS, LOWER, UPPER, ascii_lower, cut, prepare
+from .licence_texts import COMMON, HELD, PLAIN, TEMPLATES, UNKNOWN
 
 TOKEN = r"[a-z0-9]+"
 NONE, UNSURE = "none", "unknown"
 
 
+#: A line of 50 to 120 characters that ends no sentence goes on in the next line, if that has a letter or digit.
+WRAPPED = r"(?md)^([^\n]{49,119}[^\x09-\x0D\x20.!?:;])[ \t\r]*\n(?=[^\n]*[A-Za-z0-9])"
+
+
 @dataclass(frozen=True)
 class Scan:
-    """dropped: shares of words left out of training copies. copies: of each sentence. sure: probability of its
-    best family below which a licence is of an unknown one. alike: share of grams that confirms a template."""
+    """dropped: shares of words left out of training copies. copies: of each notice. sparse: penalty on the absolute
+    weights, which makes most of them zero. sure: probability of its best family below which a licence is of an
+    unknown one. alike: share of grams that confirms a template. digits: of probabilities."""
 
     dropped: tuple[float, ...] = (0.0, 0.1, 0.2, 0.3)
     copies: int = 6
-    steps: int = 400
-    penalty: float = 1e-3
+    steps: int = 200
+    sparse: float = 3e-4
     sure: float = 0.6
     alike: float = 0.5
+    digits: int = 9
     seed: int = 5
 
 
 def grams(text: str) -> list[str]:
     """Distinct words and pairs of neighbouring words."""
-    words = re.findall(TOKEN, text.lower())
+    words = re.findall(TOKEN, text.translate(str.maketrans(UPPER, LOWER)))
     return list(dict.fromkeys([*words, *(f"{a} {b}" for a, b in zip(words, words[1:], strict=False))]))
 
 
+def telling(gram: str) -> list[str]:
+    """The words of a gram that aren't common; grams without any are no features."""
+    return [w for w in gram.split() if w not in COMMON]
+
+
 @dataclass(frozen=True)
 class Classifier:
+    """Grams with a weight other than zero. A text without any word of `cover` is never likelier a licence than not."""
+
     classes: tuple[str, ...]
     vocabulary: tuple[str, ...]
     weights: np.ndarray  # grams by classes, divided by the temperature, rounded so that sums don't depend on their order
     bias: np.ndarray
+    cover: tuple[str, ...]
 
 
 @lru_cache(maxsize=4)
 def train(how: Scan = Scan()) -> Classifier:
-    """Multinomial logistic regression on binary grams, by full gradient steps; then one temperature, chosen on
-    copies that weren't trained on, calibrates its probabilities."""
+    """Multinomial logistic regression on binary grams with an absolute penalty, by accelerated proximal gradient steps.
+
+    It learns from copies of the notices, whole, with words left out, and among prose; then one temperature, chosen
+    on `HELD`, whose wordings it didn't see, calibrates its probabilities.
+    """
     random = np.random.default_rng(how.seed)
-    sentences = [(t, k) for k, ts in TEMPLATES.items() for t in ts] + [(t, UNSURE) for t in UNKNOWN] + [(t, NONE) for t in PLAIN]
+    notices = [(t, k) for k, ts in TEMPLATES.items() for t in ts] + [(t, UNSURE) for t in UNKNOWN] + [(t, NONE) for t in PLAIN]
     classes = (NONE, UNSURE, *TEMPLATES)
-    rows, kept = [], []
-    for text, kind in sentences:
+    rows = []
+    for text, kind in notices:
         words = text.split()
         for i in range(how.copies):
             share = how.dropped[i % len(how.dropped)]
             left = [w for w in words if random.random() >= share] or words
             # prose around a notice: a paragraph is seldom a notice alone
-            around = list(random.choice(PLAIN).split()) if i % 2 and kind != NONE else []
-            rows.append((grams(" ".join([*left, *around])), classes.index(kind)))
-            kept.append(i % 3 != 2)
+            around = " ".join(random.choice(PLAIN, i // 2 + 1)) if i % 2 else ""
+            rows.append((grams(" ".join([*left, around])), classes.index(kind)))
     rows += [([], 0)] * 20
-    kept += [True] * 20
-    vocabulary = sorted(g for g, n in Counter(g for r, _ in rows for g in r).items() if n >= 2)
+    vocabulary = sorted(g for g, n in Counter(g for r, _ in rows for g in r).items() if n >= 2 and telling(g))
     place = {g: k for k, g in enumerate(vocabulary)}
-    x, y, kept = np.zeros((len(rows), len(vocabulary))), np.zeros((len(rows), len(classes))), np.array(kept)
-    for i, (gs, k) in enumerate(rows):
-        x[i, [place[g] for g in gs if g in place]] = 1
-        y[i, k] = 1
+
+    def matrix(found):
+        x = np.zeros((len(found), len(vocabulary)))
+        for i, gs in enumerate(found):
+            x[i, [place[g] for g in gs if g in place]] = 1
+        return x
+
+    x, y = matrix([r for r, _ in rows]), np.eye(len(classes))[[k for _, k in rows]]
     w, b = np.zeros((len(vocabulary), len(classes))), np.zeros(len(classes))
-    xt, yt = x[kept], y[kept]
+    step = 2 * len(x) / (np.linalg.norm(np.hstack([x, np.ones((len(x), 1))]), 2) ** 2)
+    ahead, ahead_b, pace = w, b, 1.0
     for _ in range(how.steps):
-        e = softmax(xt @ w + b) - yt
-        w -= 0.5 * (xt.T @ e / len(xt) + how.penalty * w)
-        b -= 0.5 * e.mean(axis=0)
-    z, target = x[~kept] @ w + b, y[~kept]
+        e = softmax(x @ ahead + ahead_b) - y
+        moved = ahead - step * (x.T @ e / len(x))
+        moved = np.sign(moved) * np.maximum(np.abs(moved) - step * how.sparse, 0)
+        moved_b = ahead_b - step * e.mean(axis=0)
+        quicker = (1 + (1 + 4 * pace**2) ** 0.5) / 2
+        ahead, ahead_b = moved + (pace - 1) / quicker * (moved - w), moved_b + (pace - 1) / quicker * (moved_b - b)
+        w, b, pace = moved, moved_b, quicker
+    z, target = matrix([grams(t) for _, t in HELD]) @ w + b, np.eye(len(classes))[[classes.index(k) for k, _ in HELD]]
     loss = lambda t: -np.log((softmax(z / t) * target).sum(axis=1) + 1e-12).mean()
     heat = min((0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0), key=loss)
     # on a grid of 2**-20 sums are exact in any order
-    return Classifier(classes, tuple(vocabulary), np.round(w / heat * 2**20) / 2**20, np.round(b / heat * 2**20) / 2**20)
+    w, b = np.round(w / heat * 2**20) / 2**20, np.round(b / heat * 2**20) / 2**20
+    some = np.flatnonzero(np.abs(w).any(axis=1))
+    vocabulary, w = tuple(vocabulary[i] for i in some), w[some]
+    if softmax(b[None])[0, 0] < 0.5:
+        raise ValueError("texts without any feature must be no licence")
+    speaking = [g for g, row in zip(vocabulary, w, strict=True) if (row > row[0]).any()]
+    cover = {telling(g)[0] for g in speaking if len(telling(g)) == 1}
+    for g in speaking:
+        if not cover.intersection(telling(g)):
+            cover.add(telling(g)[-1])
+    return Classifier(classes, vocabulary, w, b, tuple(sorted(cover)))
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -182,17 +123,22 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
+def word_column(text: Column) -> Column:
+    return F.regexp_extract_all(ascii_lower(text), F.lit(TOKEN), F.lit(0))
+
+
 def gram_column(text: Column) -> Column:
     """`grams` of a text column."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
+    words = word_column(text)
     pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))
     # zip_with pads the shorter list: the last word pairs with nothing and stays a word
     return F.array_distinct(F.concat(words, pairs))
 
 
 def paragraphs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, paragraph, text): the lines of each text that have a letter or digit, numbered from 0."""
-    lines = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.posexplode(F.split(F.coalesce(F.col(text).cast("string"), F.lit("")), "\n")).alias("paragraph", "body"))
+    """(doc_id, paragraph, body): the lines of each text that have a letter or digit, wrapped ones joined by a blank, numbered from 0."""
+    whole = F.regexp_replace(F.coalesce(F.col(text).cast("string"), F.lit("")), WRAPPED, "$1 ")
+    lines = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.posexplode(F.split(whole, "\n")).alias("paragraph", "body"))
     return lines.where(F.col("body").rlike("[A-Za-z0-9]"))
 
 
@@ -202,8 +148,9 @@ MARK = "concat_ws(':', coalesce(string(doc_id), 'null'), string(paragraph), stri
 def licenses(docs: DataFrame, how: Scan = Scan(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per paragraph that is a licence notice: doc_id, paragraph, family, probability, template, similarity, confirmed.
 
-    A paragraph is a line. Its distinct words and word pairs meet the trained weights in a broadcast join (the
-    weights are as many as the templates give, about a thousand rows); their sums per paragraph give the
+    A paragraph is a line; lines that were wrapped (`WRAPPED`) are joined. Paragraphs without a word of the model's
+    `cover` can't be licences and go first. Of the others, the distinct words and word pairs meet the trained weights in a broadcast join (the
+    weights are as many as the notices give, some thousand rows at most); their sums per paragraph give the
     probabilities. Paragraphs that are likelier no licence are left out; where no family has `how.sure`, the
     family is `unknown`. Then the grams of each found paragraph meet those of its family's templates:
     similarity is the share they have in common, of the smaller of the two; `how.alike` confirms.
@@ -216,11 +163,12 @@ def licenses(docs: DataFrame, how: Scan = Scan(), doc_id: str = "doc_id", text:
     model = train(how)
     names = [f"z{k}" for k in range(len(model.classes))]
     schema = "gram string, " + ", ".join(f"{n} double" for n in names)
+    likely = F.arrays_overlap(word_column(F.col("body")), F.array(*map(F.lit, model.cover)))
     weights = spark.createDataFrame([(g, *map(float, w)) for g, w in zip(model.vocabulary, model.weights, strict=True)], schema)
     key = ["doc_id", "paragraph", "line"]
     lines = paragraphs(docs, doc_id, text).withColumn("line", F.xxhash64("body"))
     # `row` keeps rows with equal ids apart; it is used within this one aggregation only
-    exploded = lines.withColumn("row", F.monotonically_increasing_id()).select("row", *key, F.explode(gram_column(F.col("body"))).alias("gram"))
+    exploded = lines.where(likely).withColumn("row", F.monotonically_increasing_id()).select("row", *key, F.explode(gram_column(F.col("body"))).alias("gram"))
     summed = exploded.join(F.broadcast(weights), "gram").groupBy("row", *key).agg(*(F.sum(n).alias(n) for n in names))
     scores = [F.col(n) + float(b) for n, b in zip(names, model.bias, strict=True)]
     top = F.greatest(*scores)
@@ -230,7 +178,7 @@ def licenses(docs: DataFrame, how: Scan = Scan(), doc_id: str = "doc_id", text:
     judged = summed.select(*key, (F.exp(scores[0] - top) / total).alias("none"), best.alias("best"), top.alias("top"), total.alias("total"))
     share = F.exp(F.col("best.z") - F.col("top")) / F.col("total")
     sure = share >= how.sure
-    found = judged.where("none < 0.5").select(*key, F.when(sure, F.col("best.family")).otherwise(F.lit(UNSURE)).alias("family"), F.when(sure, share).otherwise(1 - F.col("none")).alias("probability"))
+    found = judged.where("none < 0.5").select(*key, F.when(sure, F.col("best.family")).otherwise(F.lit(UNSURE)).alias("family"), F.round(F.when(sure, share).otherwise(1 - F.col("none")), how.digits).alias("probability"))
     found = cut(found.dropDuplicates(key).withColumn("mark", F.expr(MARK)))
     return confirm(lines, found, how).select("doc_id", "paragraph", "family", "probability", "template", "similarity", "confirmed")
 
