@@ -12,6 +12,7 @@ TEMPLATES = {
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software.",
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
         "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+        "MIT License",
     ),
     "apache": (
         "Licensed under the Apache License, Version 2.0.",
@@ -38,6 +39,7 @@ TEMPLATES = {
         "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
         "You should have received a copy of the GNU Lesser General Public License along with this library; if not, write to the Free Software Foundation.",
         "Released under the GNU LGPL version 3.",
+        "GNU Lesser General Public License Version 3",
     ),
     "agpl": (
         "Licensed under the GNU Affero General Public License, version 3.",
@@ -48,6 +50,7 @@ TEMPLATES = {
         "Released under the GNU AGPL version 3.",
     ),
     "bsd": (
+        "BSD License",
         "Released under the BSD 3-Clause License.",
         "Licensed under the BSD 2-Clause License.",
         "SPDX-License-Identifier: BSD-3-Clause",
@@ -65,6 +68,7 @@ TEMPLATES = {
         "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
         "The contents of this file are subject to the Mozilla Public License Version 1.1 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.mozilla.org/MPL/",
         "Released under the MPL 2.0.",
+        "Mozilla Public License Version 2.0",
     ),
     "cc-by": (
         "Licensed under CC BY 4.0.",
@@ -123,6 +127,11 @@ UNKNOWN = (
     "Released under the Artistic License 2.0.",
     "Released under the Python Software Foundation License.",
     "PostgreSQL License",
+    "zlib License",
+    "Vim License",
+    "NCSA License",
+    "The Artistic License 2.0",
+    "Boost Software License",
     "SPDX-License-Identifier: BSL-1.0",
     "SPDX-License-Identifier: CDDL-1.0",
     "SPDX-License-Identifier: OSL-3.0",
@@ -174,6 +183,9 @@ PLAIN = (
     "La casa no tiene permiso, y las partes van a la oficina.",
     "Il testo e la copia sono nella casa del signore.",
     "She studied at MIT and he moved to the coast.",
+    "In chapter 1 there is an example, and table 2 shows 3 more.",
+    "Write to the office at info@example.org or see www.example.org for version 4 of the list.",
+    "Call 0 555 1 2 3 4 only if the work is urgent.",
 )
 # Other wordings, on which probabilities are calibrated; nothing is trained on them.
 HELD = (

@@ -81,6 +81,9 @@ def train(how: Scan = Scan()) -> Classifier:
             rows.append((grams(" ".join([*left, around])), classes.index(kind)))
     rows += [([], 0)] * 20
     vocabulary = sorted(g for g, n in Counter(g for r, _ in rows for g in r).items() if n >= 2 and telling(g))
+    # what no notice says can only speak for prose
+    said = {g for t, k in notices if k != NONE for g in grams(t)}
+    prose = np.array([g not in said for g in vocabulary])
     place = {g: k for k, g in enumerate(vocabulary)}
 
     def matrix(found):
@@ -97,6 +100,8 @@ def train(how: Scan = Scan()) -> Classifier:
         e = softmax(x @ ahead + ahead_b) - y
         moved = ahead - step * (x.T @ e / len(x))
         moved = np.sign(moved) * np.maximum(np.abs(moved) - step * how.sparse, 0)
+        moved[prose, 1:] = 0
+        moved[prose, 0] = np.maximum(moved[prose, 0], 0)
         moved_b = ahead_b - step * e.mean(axis=0)
         quicker = (1 + (1 + 4 * pace**2) ** 0.5) / 2
         ahead, ahead_b = moved + (pace - 1) / quicker * (moved - w), moved_b + (pace - 1) / quicker * (moved_b - b)
