@@ -477,3 +477,7 @@ def vclusters(spark, d):
     pair = F.array(F.struct(F.col("id1").alias("seq_id"), F.col("seq1").alias("aln")), F.struct(F.col("id2").alias("seq_id"), F.col("seq2").alias("aln")))
     msa = V.snps(spark, d).select(F.col("line").alias("cluster_no"), F.explode(pair).alias("s")).select("cluster_no", "s.*")
     return clusters.call_clusters(msa, clusters.ClusterOptions(("a", "b"))).drop("len1", "len2")
+
+
+# sources and sinks register themselves with `query` above
+from strandframe.plans import round_trips  # noqa: E402, F401
