@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from strandframe.functions import coded as C
 from strandframe.functions import sequence as S
 
 #: Frequencies saturate here.
@@ -21,8 +23,16 @@ def count_kmers(df: DataFrame, k: int, by: list[str] | None = None, seq: str = "
     """(by, kmer, freq) over canonical windows without other letters; partial sums precede the shuffle."""
     by = by or []
     n = F.sum(weight) if weight else F.count("*")
-    windows = explode_kmers(df, k, [*by, *([weight] if weight else [])], seq).where(S.only_acgt(F.col("kmer")))
-    return windows.groupBy(*by, "kmer").agg(F.least(n, F.lit(MOST)).cast("int").alias("freq"))
+    whole = weight is None or isinstance(df.schema[weight].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+    odd = df.where(~C.plain(F.col(seq)))
+    if k > C.TABLE_K or not whole:
+        odd = df
+    windows = explode_kmers(odd, k, [*by, *([weight] if weight else [])], seq).where(S.only_acgt(F.col("kmer")))
+    slow = windows.groupBy(*by, "kmer").agg(n.alias("n"))
+    if odd is not df:
+        fast = C.counted(df.where(C.plain(F.col(seq))), k, by, seq, weight)
+        slow = fast if C.blank(odd) else fast.unionByName(slow).groupBy(*by, "kmer").agg(F.sum("n").alias("n"))
+    return slow.select(*by, "kmer", F.least("n", F.lit(MOST)).cast("int").alias("freq"))
 
 
 def reference_set(df: DataFrame, k: int | None = None, column: str = "seq") -> DataFrame:
