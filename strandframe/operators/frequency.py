@@ -82,4 +82,5 @@ def _joined(seqs: DataFrame, samples: DataFrame, k: int, seq_id: str, seq: str)
 def coverage_wide(long: DataFrame, samples: list, seq_id: str = "seq_id") -> DataFrame:
     """One row per sequence with `<sample>_median_freq`, `<sample>_num_kmers`, `<sample>_kmer_ratio`."""
     names = ("median_freq", "num_kmers", "kmer_ratio")
-    return long.groupBy(seq_id).pivot("sample", samples).agg(*(F.first(n).alias(n) for n in names))
+    # the rows of a sequence mostly come one after the other, so that they meet before the shuffle; a pivot shuffles them all
+    return long.groupBy(seq_id).agg(*(F.max(F.when(F.col("sample") == s, F.col(n))).alias(f"{s}_{n}") for s in samples for n in names))
