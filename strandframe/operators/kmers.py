@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import sys
+
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,6 +14,8 @@ from pyspark.sql import types as T
 from strandframe.functions import coded as C
 from strandframe.functions import sequence as S
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: Frequencies saturate here.
 MOST = 32767
 
@@ -38,11 +45,23 @@ def count_kmers(df: DataFrame, k: int, by: list[str] | None = None, seq: str = "
 def reference_set(df: DataFrame, k: int | None = None, column: str = "seq") -> DataFrame:
     """(k, kmer), distinct and canonical. Without k each row is a k-mer, its first word; with k windows of sequences,
     of which those with other letters are left out."""
+    return reference_windows(df, k, column).distinct()
+
+
+def reference_windows(df: DataFrame, k: int | None = None, column: str = "seq") -> DataFrame:
+    """`reference_set` with repeats, for matching, which they don't change."""
     if k is None:
         found = df.select(S.canonical(F.split(F.col(column), "[\t ]")[0]).alias("kmer"))
     else:
-        found = explode_kmers(df, k, [], column).select("kmer").where(S.only_acgt(F.col("kmer")))
-    return found.where("length(kmer) > 0").select(F.length("kmer").alias("k"), "kmer").distinct()
+        fast = C.plain(F.col(column)) if k <= C.LONGEST else F.lit(False)
+        found = explode_kmers(df.where(~fast), k, [], column).select("kmer").where(S.only_acgt(F.col("kmer")))
+        if k <= C.LONGEST:
+
+            def make(b):
+                yield pa.RecordBatch.from_arrays([C.texts(np.unique(C.windows(b.column(0), k)[0]), k)], ["kmer"])
+
+            found = found.unionByName(C.in_batches(df.where(fast).select(column), make, "kmer string"))
+    return found.where("length(kmer) > 0").select(F.length("kmer").alias("k"), "kmer")
 
 
 def capped(samples: DataFrame) -> DataFrame:

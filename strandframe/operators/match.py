@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+import sys
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandframe.functions import coded as C
 from strandframe.functions import sequence as S
 from strandframe.operators.kmers import explode_kmers
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 @dataclass(frozen=True)
 class MatchOptions:
@@ -32,12 +41,22 @@ class MatchOptions:
 def match_reads(reads: DataFrame, kmer_set: DataFrame, how: MatchOptions, read_id: str = "read_id", seq: str = "seq", mate: str | None = None) -> DataFrame:
     """The rows of `reads` whose k-mers are in the set often enough. `read_id` has to be unique.
 
-    The default (one hit) is a semi join. Counting joins windows to the set and sums per read. Reads without
+    Up to k = 14 windows are looked up in a table of the set, a bit for each possible k-mer, and no read is shuffled.
+    Longer ones, and reads with other letters, go through joins; repeats in the set do no harm. The default (one hit) is a semi join. Counting joins windows to the set and sums per read. Reads without
     a window have no hits, and so stay when inverted. Only id and k-mer take part in the shuffle; a read's
     other columns don't. Join sides are left to adaptive execution, which broadcasts a set that it measured
     to be small and splits k-mers that are too frequent for a task.
     """
     mates = [seq] if mate is None else [seq, mate]
+    if how.k <= C.BITS_K:
+        plain, odd = _parts(reads, mates)
+        done = _hits(plain, kmer_set, how.k, mates).where(_fits(how, F.col("__hits"), seq, mates)).select(*reads.columns)
+        return done if odd is None else done.unionByName(_joined(odd, kmer_set, how, read_id, seq, mates))
+    return _joined(reads, kmer_set, how, read_id, seq, mates)
+
+
+def _joined(reads: DataFrame, kmer_set: DataFrame, how: MatchOptions, read_id: str, seq: str, mates: list[str]) -> DataFrame:
+    """`match_reads` by joins, of any letters and length."""
     windows = None
     for m in mates:
         part = explode_kmers(reads.where(F.col(m).isNotNull()), how.k, [read_id], m)
@@ -48,16 +67,49 @@ def match_reads(reads: DataFrame, kmer_set: DataFrame, how: MatchOptions, read_i
     if how.least == 1 and how.share == 0.0:
         return reads.join(hits.select(read_id).distinct(), read_id, "left_anti" if how.invert else "left_semi")
     n = hits.groupBy(read_id).agg(F.count("*").alias("__hits"))
+    return reads.join(n, read_id, "left").where(_fits(how, F.coalesce("__hits", F.lit(0)), seq, mates)).drop("__hits")
+
+
+def _fits(how: MatchOptions, count: Column, seq: str, mates: list[str]) -> Column:
     length = lambda c: F.greatest(F.coalesce(F.length(c), F.lit(0)) - (how.k - 1), F.lit(0))
     whole = F.length(seq) - how.k if how.literal else sum((length(m) for m in mates[1:]), length(mates[0]))
-    count = F.coalesce("__hits", F.lit(0))
     share = F.when(whole > 0, count / whole).otherwise(F.lit(0.0))
     fits = (count >= how.least) & (share >= how.share)
-    return reads.join(n, read_id, "left").where(~fits if how.invert else fits).drop("__hits")
+    return ~fits if how.invert else fits
+
+
+def _parts(reads: DataFrame, mates: list[str]) -> tuple[DataFrame, DataFrame | None]:
+    """The reads of A, C, G and T only, and those with other letters; without such the reads as they are, and None."""
+    plain = reduce(Column.__and__, (C.plain(F.col(m)) for m in mates))
+    odd = reads.where(~plain)
+    return (reads, None) if C.blank(odd) else (reads.where(plain), odd)
+
+
+def _hits(reads: DataFrame, kmer_set: DataFrame, k: int, mates: list[str]) -> DataFrame:
+    """Plain `reads` with __hits, looked up in a table of 4^k bits."""
+    table = C.bits(kmer_set.where(F.col("k") == k).select("kmer"), k)
+
+    @F.pandas_udf("long")
+    def count(*columns: pd.Series) -> pd.Series:
+        total = 0
+        for c in columns:
+            codes, n = C.windows(pa.array(c, pa.string()), k)
+            total = total + C.sums(table.value[codes >> 3] >> (codes & 7).astype(np.uint8) & 1, n)
+        return pd.Series(total)
+
+    return reads.withColumn("__hits", count(*mates))
 
 
 def match_counts(reads: DataFrame, kmer_set: DataFrame, k: int, read_id: str = "read_id", seq: str = "seq") -> DataFrame:
     """(read_id, hits) for every read, 0 included."""
+    if k <= C.BITS_K:
+        plain, odd = _parts(reads.select(read_id, seq), [seq])
+        done = _hits(plain, kmer_set, k, [seq]).select(read_id, F.col("__hits").alias("hits"))
+        return done if odd is None else done.unionByName(_counts(odd, kmer_set, k, read_id, seq))
+    return _counts(reads, kmer_set, k, read_id, seq)
+
+
+def _counts(reads: DataFrame, kmer_set: DataFrame, k: int, read_id: str, seq: str) -> DataFrame:
     windows = explode_kmers(reads, k, [read_id], seq).where(~S.has_n(F.col("kmer")))
     hits = windows.join(kmer_set.where(F.col("k") == k).select("kmer"), "kmer", "left_semi").groupBy(read_id).agg(F.count("*").alias("hits"))
     return reads.select(read_id).join(hits, read_id, "left").withColumn("hits", F.coalesce("hits", F.lit(0)))

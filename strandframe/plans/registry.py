@@ -85,9 +85,14 @@ def _set(spark, d, k=_M):
     return kmers.reference_set(V.part_sequences(spark, d), k)
 
 
+def _windows(spark, d):
+    """The same with repeats, which matching doesn't mind."""
+    return kmers.reference_windows(V.part_sequences(spark, d), _M)
+
+
 @query(f"select read_id from {Q_READS} where read_id in (select read_id from {_HITS})")
 def kmatch(spark, d):
-    return match.match_reads(V.reads(spark, d), _set(spark, d), match.MatchOptions(_M)).select("read_id")
+    return match.match_reads(V.reads(spark, d), _windows(spark, d), match.MatchOptions(_M)).select("read_id")
 
 
 @query(f"select read_id from {Q_READS} where read_id not in (select read_id from {_HITS})")
