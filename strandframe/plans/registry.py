@@ -107,7 +107,7 @@ def kmatch_share(spark, d):
 
 @query(f"select read_id, coalesce(hits, 0) as hits from {Q_READS} left join {_HITS} using (read_id)")
 def kmatch_counts(spark, d):
-    return match.match_counts(V.reads(spark, d), _set(spark, d), _M)
+    return match.match_counts(V.reads(spark, d), _windows(spark, d), _M)
 
 
 _MATES = f"(select o_orderkey as read_id, unnest([{q_dna('o_orderkey')}, {q_rc(q_dna('o_orderkey + 1'))}]) as seq from orders)"
