@@ -97,7 +97,7 @@ def kmatch(spark, d):
 
 @query(f"select read_id from {Q_READS} where read_id not in (select read_id from {_HITS})")
 def kmatch_invert(spark, d):
-    return match.match_reads(V.reads(spark, d), _set(spark, d), match.MatchOptions(_M, invert=True)).select("read_id")
+    return match.match_reads(V.reads(spark, d), _windows(spark, d), match.MatchOptions(_M, invert=True)).select("read_id")
 
 
 @query(f"select read_id from {_HITS} where hits >= 3 and hits / 56.0 >= 0.06")
