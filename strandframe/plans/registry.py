@@ -102,7 +102,7 @@ def kmatch_invert(spark, d):
 
 @query(f"select read_id from {_HITS} where hits >= 3 and hits / 56.0 >= 0.06")
 def kmatch_share(spark, d):
-    return match.match_reads(V.reads(spark, d), _set(spark, d), match.MatchOptions(_M, 3, 0.06)).select("read_id")
+    return match.match_reads(V.reads(spark, d), _windows(spark, d), match.MatchOptions(_M, 3, 0.06)).select("read_id")
 
 
 @query(f"select read_id, coalesce(hits, 0) as hits from {Q_READS} left join {_HITS} using (read_id)")
