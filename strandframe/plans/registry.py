@@ -115,7 +115,7 @@ _MATES = f"(select o_orderkey as read_id, unnest([{q_dna('o_orderkey')}, {q_rc(q
 
 @query(f"select distinct read_id from {q_windows(_MATES, 'read_id', 'seq', _M)} where kmer in (select kmer from {_SET}) group by read_id having count(*) >= 2")
 def kmatch_paired(spark, d):
-    return match.match_reads(V.paired_reads(spark, d), _set(spark, d), match.MatchOptions(_M, 2), mate="seq2").select("read_id")
+    return match.match_reads(V.paired_reads(spark, d), _windows(spark, d), match.MatchOptions(_M, 2), mate="seq2").select("read_id")
 
 
 @query(f"select kmer from {_SET}")
