@@ -77,3 +77,18 @@ def test_f12_seed_calls_without_a_join(spark, seqs, samples):
     seeds = spark.createDataFrame([("a", "ACGTACGTA"), ("b", "CCAN"), ("n", "ACGTNACGTA"), ("o", "ANGTAACGTA"), ("s", "ACGT"), ("t", "AC"), ("u", ""), ("l", "ACGTAACCGTTTTGACA")], "seed_id string, seq string")
     assert rows(genotype.seed_calls(seeds, samples, 5)) == rows(genotype._joined_seeds(seeds, samples, 5, "seed_id", "seq"))
     assert not joins(genotype.seed_calls(seeds.where("seed_id not in ('b', 'o')"), samples, 5))
+
+
+def test_f13_distances_read_the_calls_once(spark):
+    calls = [(1, 1, "a", "A", None), (1, 1, "b", "A", "C"), (1, 2, "a", "G", None), (1, 2, "b", "G", None), (2, 1, "a", "T", None), (2, 1, "c", None, None)]
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    kind = "cluster_id long, pos0 int, sample string, allele1 string, allele2 string"
+    found = rows(genotype.distances(spark.createDataFrame(calls, kind).mapInArrow(count, kind)))
+    assert seen.value == len(calls)
+    assert (("a", "b", 2, 0.5) in found) and (("c", "a", 0, None) in found) and (("b", "b", 0, 0.0) in found) and len(found) == 9
