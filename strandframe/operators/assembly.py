@@ -5,12 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandframe.functions import coded as C
 from strandframe.functions import sequence as S
+from strandframe.operators import compact
 from strandframe.operators.kmers import explode_kmers
 from strandframe.operators.lineage import cut
 from strandframe.operators.match import best_per_group
 
 
+#: Lengths of k-mers that go as numbers, each in jobs of its own.
+FEW = 8
+
+
 def resolve_ks(k: int | None = None, low: int | None = None, high: int | None = None, step: int = 2) -> list[int]:
     """The values of k: one, or a range of which a missing end is the other one."""
     if k is not None:
@@ -45,7 +51,7 @@ def cores(kmers: DataFrame) -> DataFrame:
 
 
 def paths(table: DataFrame, rounds: int = 64) -> DataFrame:
-    """(k, seq, n, head, tail): the contigs of a table of cores, each on both strands.
+    """(k, seq, n, head, tail): the contigs of a table of cores, each on both strands, for any letters and length.
 
     Nodes are cores with exactly one base on each side, as read on either strand. Each has at most one successor:
     the core one base on, if that is a node, points back and isn't the same core. Pointer doubling gives every node
@@ -83,7 +89,30 @@ def contigs(kmers: DataFrame, least: int | None = None) -> DataFrame:
 
     A contig is two or more overlapping k-mers of which no inner (k-1)-mer has a second continuation. ambiguous_ends:
     at how many ends a core with more than one continuation follows; 9 for a contig of one core between two.
+    K-mers of up to 31 letters go as numbers, up to FEW lengths of them; others, and other letters, as text.
     """
+    size = F.length("kmer")
+    ks = [r[0] for r in kmers.where(size.between(3, C.LONGEST)).select(size).distinct().limit(FEW + 1).collect()]
+    ks = sorted(ks) if len(ks) <= FEW else []
+    out = _by_text(kmers.where(~size.isin(ks)) if ks else kmers, least)
+    for k in ks:
+        out = out.unionByName(contigs_of(kmers.where(size == k), k, "kmer", least))
+    return out
+
+
+def contigs_of(seqs: DataFrame, k: int, seq: str = "seq", least: int | None = None) -> DataFrame:
+    """`contigs` of all k-mers of sequences, which may repeat."""
+    found = compact.paths(seqs.select(seq), k)
+    if found is None:
+        return _by_text(explode_kmers(seqs, k, [], seq).select("kmer").distinct(), least)
+    size, both = F.length("seq"), F.col("amb_left").cast("int") + F.col("amb_right").cast("int")
+    amb = F.when((size == k + 1) & (both == 2), F.lit(9)).otherwise(both)
+    kept = found.where(size >= (k + 1 if least is None else least))
+    return kept.select(F.lit(k).alias("k"), S.canonical(F.col("seq")).alias("seq"), (size - k).alias("n"), amb.alias("ambiguous_ends"))
+
+
+def _by_text(kmers: DataFrame, least: int | None = None) -> DataFrame:
+    """`contigs` of any letters and lengths."""
     table = cut(cores(kmers))
     found = paths(table)
     hard = table.where("size(lefts) > 1 or size(rights) > 1").select("k", "core")

@@ -423,7 +423,7 @@ def _read_kmers(spark, d):
 
 @query(f"select {q_canonical('seq')} as seq, length(seq) - 25 as n from {_RUNS}")
 def contigs(spark, d):
-    return assembly.contigs(_read_kmers(spark, d)).select("seq", F.col("n").cast("long").alias("n"))
+    return assembly.contigs_of(V.reads(spark, d), 25).select("seq", F.col("n").cast("long").alias("n"))
 
 
 @query(f"""select k as seed_id, case when before is null then 0 else 25 end as left_k, 25 as right_k,
