@@ -143,21 +143,18 @@ def contig_fasta(found: DataFrame, prefix: str = "contig") -> DataFrame:
     return rows.select("no", F.concat(F.lit(f">{prefix}_"), F.col("no").cast("string"), amb, F.lit(" "), F.length("seq").cast("string"), F.lit("\n"), F.col("seq")).alias("value"))
 
 
-def seed_extensions(seeds: DataFrame, kmers: DataFrame, ks: list[int], purged: bool = False, seed_id: str = "seed_id", seq: str = "seq") -> DataFrame:
+def seed_extensions(seeds: DataFrame, kmers: DataFrame, ks: list[int], purged: bool = False, seed_id: str = "seed_id", seq: str = "seq", reads: str | None = None) -> DataFrame:
     """(seed_id, k, left_ext, right_ext): what contigs add to each seed's ends, the longest per k.
 
     Unless `purged`, cores from inside any seed are taken out first, so that paths end at seeds. An end whose core
-    another seed's end has too is not extended.
+    another seed's end has too is not extended. `kmers` has k-mers of any lengths or, with `reads`, sequences in the
+    column of that name, of which all k-mers count.
     """
     out = None
     spark: SparkSession = seeds.sparkSession
     for k in ks:
         long = seeds.where(F.length(seq) >= k)
-        table = cores(kmers.where(F.length("kmer") == k))
-        if not purged:
-            inner = explode_kmers(long.select(seed_id, F.length(seq).alias("len"), seq), k, [seed_id, "len"], seq).where(f"pos > 0 and pos < len - {k}")
-            table = table.join(cores(inner.select("kmer")).select("k", "core"), ["k", "core"], "left_anti")
-        found = paths(cut(table)).select("seq").withColumnRenamed("seq", "path")
+        found = _seed_paths(long, kmers, k, purged, seed_id, seq, reads)
         ends = F.array(
             F.struct(F.lit("L").alias("side"), F.expr(f"substring({seq}, 1, {k})").alias("mer"), S.canonical(F.expr(f"substring({seq}, 1, {k - 1})")).alias("core")),
             F.struct(F.lit("R").alias("side"), F.expr(f"substring({seq}, -{k})").alias("mer"), S.canonical(F.expr(f"substring({seq}, -{k - 1})")).alias("core")),
@@ -173,6 +170,23 @@ def seed_extensions(seeds: DataFrame, kmers: DataFrame, ks: list[int], purged: b
     return out if out is not None else spark.createDataFrame([], f"{seed_id} string, left_ext string, right_ext string, k int")
 
 
+def _seed_paths(long: DataFrame, kmers: DataFrame, k: int, purged: bool, seed_id: str, seq: str, reads: str | None) -> DataFrame:
+    """(path): the paths of length k on both strands, without the cores inside the seeds, which have k letters at least."""
+    source = kmers.select(reads) if reads else kmers.where(F.length("kmer") == k).select("kmer")
+    inside = None
+    if not purged:  # a seed's inner k-mers are those of its letters but the first and the last
+        body = long.where(F.length(seq) >= k + 2).select(F.explode(F.split(F.expr(f"substring({seq}, 2, length({seq}) - 2)"), "[^ACGT]")).alias("seq"))
+        inside = body.where(F.length("seq") >= k - 1)
+    found = compact.paths(source, k, inside)
+    if found is not None:
+        return found.select(F.explode(F.array("seq", S.reverse_complement(F.col("seq")))).alias("path"))
+    table = cores(explode_kmers(kmers, k, [], reads).select("kmer").distinct() if reads else source)
+    if not purged:
+        inner = explode_kmers(long.select(seed_id, F.length(seq).alias("len"), seq), k, [seed_id, "len"], seq).where(f"pos > 0 and pos < len - {k}")
+        table = table.join(cores(inner.select("kmer")).select("k", "core"), ["k", "core"], "left_anti")
+    return paths(cut(table)).select(F.col("seq").alias("path"))
+
+
 def extended_seeds(seeds: DataFrame, extensions: DataFrame, seed_id: str = "seed_id", seq: str = "seq") -> DataFrame:
     """(seed_id, left_k, right_k, seq): every seed with its longest extension on each side over all k. Of equally
     long ones the larger k, but the smallest k where the text is the same too. k is 0 for no extension."""

@@ -417,10 +417,6 @@ _SEEDS = """(select o_orderkey as k, case when o_orderkey % 8 <> 0 and lag(o_ord
   o_orderkey % 8 <> 7 and coalesce(lead(o_orderkey) over (order by o_orderkey) = o_orderkey + 1, false) as inside, case when o_orderkey % 8 = 7 then -o_orderkey - 1 else o_orderkey + 1 end as after from orders)"""
 
 
-def _read_kmers(spark, d):
-    return kmers.explode_kmers(V.reads(spark, d), 25, []).select("kmer").distinct()
-
-
 @query(f"select {q_canonical('seq')} as seq, length(seq) - 25 as n from {_RUNS}")
 def contigs(spark, d):
     return assembly.contigs_of(V.reads(spark, d), 25).select("seq", F.col("n").cast("long").alias("n"))
@@ -432,7 +428,7 @@ def seed_extension(spark, d):
     """Seeds are the 32 letters of every order; within a run they grow up to where the next seed begins."""
     key = F.col("o_orderkey")
     seeds = V.table(spark, d, "orders").select(key.alias("seed_id"), V.dna(key).alias("seq"))
-    return assembly.extended_seeds(seeds, assembly.seed_extensions(seeds, _read_kmers(spark, d), [25]))
+    return assembly.extended_seeds(seeds, assembly.seed_extensions(seeds, V.reads(spark, d), [25], reads="seq"))
 
 
 # -- demultiplexing and clusters --------------------------------------------------------------------

@@ -34,3 +34,14 @@ def test_other_letters_go_as_text(spark):
     seqs = spark.createDataFrame([("ACGNTTACCA",), ("TTACCAG",)], "seq string")
     assert compact.paths(seqs, 4) is None
     assert any("N" in r[1] for r in rows(assembly.contigs_of(seqs, 4)))
+
+
+def test_seeds_on_reads_as_in_the_text_version(spark, monkeypatch):
+    random.seed(5)
+    text = "".join(random.choice("ACGT") for _ in range(160))
+    reads = spark.createDataFrame([(text[i : i + 40],) for i in range(0, 130, 20)], "seq string")
+    seeds = spark.createDataFrame([("a", text[40:60]), ("n", text[90:98] + "N" + text[99:112]), ("other", "A" * 20)], "seed_id string, seq string")
+    found = rows(assembly.extended_seeds(seeds, assembly.seed_extensions(seeds, reads, [9], reads="seq")))
+    assert found[0][3].startswith(text[:60])
+    monkeypatch.setattr(compact, "paths", lambda *_: None)
+    assert found == rows(assembly.extended_seeds(seeds, assembly.seed_extensions(seeds, reads, [9], reads="seq")))
