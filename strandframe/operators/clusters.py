@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import re
+import sys
 from dataclasses import dataclass
+from itertools import combinations, groupby
 
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 KEY = ["cluster_no", "seq_id"]
 
@@ -118,32 +126,145 @@ def pair_identities(diffs: DataFrame, chars: DataFrame) -> DataFrame:
     return rows.select("cluster_no", "id1", "id2", (1 - F.col("weight") / F.least("len1", "len2")).alias("identity"), "len1", "len2")
 
 
+def _fitting(rows: DataFrame, samples: tuple[str, ...]) -> None:
+    fits = F.filter(F.array(*(F.lit(s) for s in samples)), lambda s: F.startswith(F.col("seq_id"), s))
+    bad = rows.select("seq_id", fits.alias("fits")).where(F.size("fits") != 1).limit(1).collect()
+    if bad:
+        raise ValueError(f"{bad[0]['seq_id']} belongs to {len(bad[0]['fits'])} samples")
+
+
+def _gaps(aln: str, how: ClusterOptions) -> tuple[set[int], bool]:
+    """(masked positions, whether there is padding), as in `masked`."""
+    out, padding = set(), False
+    if "-" in aln:
+        lo, hi = len(aln) - len(aln.lstrip("-")), len(aln.rstrip("-")) - 1
+        for m in re.finditer("-+", aln):
+            x, y = m.start(), m.end() - 1
+            inner, size = x > lo and y < hi, y - x + 1
+            if not (inner and size <= how.indel and x >= lo + how.distance and y <= hi - how.distance):
+                out.update(range(x, y + 1))
+            padding = padding or inner and size > how.indel
+    return out, padding
+
+
+def _variants(one: str, other: str, masked: set[int]) -> tuple[int, list[tuple[int, str, str]]]:
+    """(how many unmasked positions differ, variants), as in `differences` and `variants`."""
+    if one == other:
+        return 0, []
+    diffs = [(i, x, y) for i, (x, y) in enumerate(zip(one, other)) if x != y and i not in masked]
+    found, last = [], (-2, 0)
+    for i, x, y in diffs:
+        gap = 1 if x == "-" else 2 if y == "-" else 0
+        if not (gap and last == (i - 1, gap)):
+            found.append((i, x, y))
+        last = (i, gap)
+    return len(diffs), found
+
+
+def _merged(sample: str, seqs: list[tuple[str, str]]) -> tuple[str, str] | None:
+    """The sequence that replaces those of a sample, as in `merge_samples`."""
+    if len(seqs) < 2:
+        return None
+    bounds, whole = [(len(x) - len(x.lstrip("-")), len(x.rstrip("-"))) for _, x in seqs], []
+    for i in range(len(seqs[0][1])):
+        if len({x[i] for (_, x), (lo, hi) in zip(seqs, bounds, strict=True) if lo <= i < hi}) > 1:
+            return None
+        whole.append(next((x[i] for _, x in seqs if x[i] != "-"), "-"))
+    text = "".join(whole)
+    return None if "-" in text.strip("-") else (sample + "".join(n[len(sample) :] for n, _ in seqs), text)
+
+
+def _judged(no, seqs: list[tuple[str, str]], how: ClusterOptions) -> list[tuple] | None:
+    """The rows of a cluster's table from aln_len on; None if it isn't accepted. seqs: (seq_id, aln), sorted."""
+    if len({len(x) for _, x in seqs}) > 1:
+        raise ValueError(f"cluster {no}: alignments of several lengths")
+    if not how.least_seqs <= len(seqs) <= how.most_seqs:
+        return None
+    by: dict[str, list[tuple[str, str]]] = {}
+    for s in seqs:
+        by.setdefault(next(n for n in how.samples if s[0].startswith(n)), []).append(s)
+    if len(by) < how.least_samples:
+        return None
+    after, merged = [], False
+    for sample, own in by.items():
+        made = _merged(sample, own)
+        merged = merged or made is not None
+        after += [(*s, sample) for s in (own if made is None else [made])]
+    if len(after) > how.most_out:
+        return None
+    intra = 0
+    for own in by.values():
+        if len(own) > 1:
+            laid = [(*s, mask) for s in own for mask, padding in [_gaps(s[1], how)] if not padding]
+            for (id1, x, m1), (id2, y, m2) in combinations(laid, 2):
+                if id1 != id2:
+                    intra += len(_variants(x, y, m1 | m2)[1])
+                    if intra > how.most_intra:
+                        return None
+    note, rows, inter = "MERGED" if merged else "HAS_INTRA" if intra else "N/A", [], 0
+    laid = [(*s, mask) for s in sorted(after) for mask, padding in [_gaps(s[1], how)] if not padding]
+    for (id1, x, s1, m1), (id2, y, s2, m2) in combinations(laid, 2):
+        if s1 == s2 or id1 == id2:
+            continue
+        weight, found = _variants(x, y, m1 | m2)
+        inter += len(found)
+        n1, n2 = len(x) - len(m1), len(y) - len(m2)
+        if found and 1 - weight / min(n1, n2) > how.identity:
+            for i, b1, b2 in found:
+                rows.append((len(x), id2, n2, id1, n1, i + 1, b2, b1, note, y, x) if how.reverse else (len(x), id1, n1, id2, n2, i + 1, b1, b2, note, x, y))
+    return None if how.most_inter is not None and inter > how.most_inter else rows
+
+
 def call_clusters(msa: DataFrame, how: ClusterOptions) -> DataFrame:
     """The 12-column table of SNPs and indels of accepted clusters: cluster_id (numbered in order of cluster_no), aln_len,
-    id1, len1, id2, len2, pos (from 1), base1, base2, comments, seq1, seq2."""
-    from strandframe.operators.assembly import numbered
-
-    rows = sized(assign_samples(msa, how.samples), how)
-    chars = masked(rows, how.indel, how.distance)
-    intra = variants(differences(chars, True)).groupBy("cluster_no").agg(F.count("*").alias("intra"))
-    merged = merge_samples(rows)
-    after = masked(merged, how.indel, how.distance)
-    diffs = differences(after, False)
-    found, pairs = variants(diffs), pair_identities(diffs, after)
-    inter = found.groupBy("cluster_no").agg(F.count("*").alias("inter"))
-    size = merged.groupBy("cluster_no").agg(F.count("*").alias("out"), F.max("merged").alias("merged"), F.max(F.length("aln")).alias("aln_len"))
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    judged = size.join(intra, "cluster_no", "left").join(inter, "cluster_no", "left").withColumns({"intra": zero("intra"), "inter": zero("inter")})
-    fits = (F.col("intra") <= how.most_intra) & (F.col("out") <= how.most_out) & (F.lit(True) if how.most_inter is None else F.col("inter") <= how.most_inter)
-    accepted = numbered(judged.where(fits), ["cluster_no"], "cluster_id")
-    text = lambda i: merged.select("cluster_no", F.col("seq_id").alias(f"id{i}"), F.col("aln").alias(f"seq{i}"))
-    note = F.when(F.col("merged"), F.lit("MERGED")).when(F.col("intra") > 0, F.lit("HAS_INTRA")).otherwise(F.lit("N/A"))
-    table = found.join(pairs.where(F.col("identity") > how.identity), ["cluster_no", "id1", "id2"]).join(accepted, "cluster_no").join(text(1), ["cluster_no", "id1"]).join(text(2), ["cluster_no", "id2"])
-    a, b = ("2", "1") if how.reverse else ("1", "2")
-    return table.select(
-        "cluster_id", "aln_len", F.col(f"id{a}").alias("id1"), F.col(f"len{a}").alias("len1"), F.col(f"id{b}").alias("id2"), F.col(f"len{b}").alias("len2"), (F.col("pos") + 1).alias("pos"),
-        F.col(f"base{a}").alias("base1"), F.col(f"base{b}").alias("base2"), note.alias("comments"), F.col(f"seq{a}").alias("seq1"), F.col(f"seq{b}").alias("seq2"),
-    )
+    id1, len1, id2, len2, pos (from 1), base1, base2, comments, seq1, seq2.
+
+    Clusters are dealt out by ranges of cluster_no, once; a cluster is judged where its sequences meet, and only what
+    differs leaves it. The same shuffle is read twice: for how many clusters of each range are accepted (a row each is
+    broadcast), and for their rows. Alignments of several lengths raise while rows are made."""
+    _fitting(msa, how.samples)
+    key, arrow = msa.schema["cluster_no"].dataType.simpleString(), to_arrow_type(msa.schema["cluster_no"].dataType)
+    parts = int(msa.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = msa.select("cluster_no", "seq_id", F.coalesce("aln", F.lit("")).alias("aln")).where("cluster_no is not null").repartitionByRange(parts, "cluster_no").sortWithinPartitions("cluster_no", "seq_id", "aln")
+
+    def whole(batches):
+        """(cluster_no, its sequences) of a sorted partition."""
+        rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        for no, own in groupby(rows, lambda r: r[0]):
+            yield no, [r[1:] for r in own]
+
+    def count(batches):
+        first, n = None, 0
+        for no, seqs in whole(batches):
+            first = no if first is None else first
+            n += _judged(no, seqs, how) is not None
+        if first is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([first], arrow), pa.array([n])], ["first", "n"])
+
+    kinds = [pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int32(), *[pa.string()] * 5]
+    names = ["cluster_id", "aln_len", "id1", "len1", "id2", "len2", "pos", "base1", "base2", "comments", "seq1", "seq2"]
+
+    def table(batches):
+        first, n, rows = None, 0, []
+        made = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [*kinds, arrow], strict=True)], [*names, "first"])
+        for no, seqs in whole(batches):
+            first = no if first is None else first
+            found = _judged(no, seqs, how)
+            if found is not None:
+                n += 1
+                rows += [(n, *r, first) for r in found]
+                if len(rows) >= 10_000:
+                    yield made()
+                    rows = []
+        if rows:
+            yield made()
+
+    counts = dealt.mapInArrow(count, f"first {key}, n long")
+    before = F.coalesce(F.sum("n").over(Window.orderBy("first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("first", before.alias("__before"))
+    text = ", ".join(f"{c} string" for c in names[7:])
+    rows = dealt.mapInArrow(table, f"cluster_id long, aln_len int, id1 string, len1 long, id2 string, len2 long, pos int, {text}, first {key}")
+    return rows.join(F.broadcast(starts), "first").withColumn("cluster_id", F.col("cluster_id") + F.col("__before")).select(*names)
 
 
 def cluster_fasta(msa: DataFrame, aligned: bool = False, numbers: bool = True, least: int = 0) -> DataFrame:
